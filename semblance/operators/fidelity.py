@@ -8,6 +8,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from semblance.functions.special import chi2_tail
 from semblance.operators.frames import melt, report
@@ -60,10 +61,7 @@ def _cdf_steps(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFram
     long = _paired(real, syn, cols)
     tallies = {"n_real": F.sum("is_real"), "n_syn": F.sum(1 - F.col("is_real"))}
     steps = running_counts(long, "column", tallies)
-    sizes = long.groupBy("column").agg(*[t.alias(f"total_{n}") for n, t in tallies.items()])
-    # sizes has one row per column
-    joined = steps.join(F.broadcast(sizes), "column")
-    return joined.withColumn(
+    return steps.withColumn(
         "gap", F.abs(F.try_divide("cum_n_real", "total_n_real") - F.try_divide("cum_n_syn", "total_n_syn"))
     )
 
@@ -97,7 +95,7 @@ def category_shares(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> Dat
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else chi2_tail(float(a), int(d)) for a, d in zip(x, dof)])
 

@@ -22,46 +22,60 @@ from semblance.functions.rand import digest
 from semblance.operators.frames import HOT_SHARE, cut_lineage
 
 BROADCAST_BYTES = 32 << 20
+BROADCAST_PAIRS = 500_000_000
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
 HOT_VISITS = 200_000
 PIVOTS = 1024
 
 
-def _best(qv: np.ndarray, pv: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[list, list]]:
-    """Per query the k nearest of the given points as (ids, distances), ties by id.
+def _best(qv: np.ndarray, pv: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances (queries x min(k, points)) of the nearest points, ties by id.
 
     Candidates come from the expanded square; their distances are then recomputed from
     differences, with a margin that covers the rounding of the expansion.
     """
-    out = []
+    kk = min(k, len(pv))
     p2 = np.einsum("ij,ij->i", pv, pv)
+    top = p2.max()
+    out_ids, out_dist = [], []
     for s in range(0, len(qv), QUERY_ROWS):
         q = qv[s : s + QUERY_ROWS]
         q2 = np.einsum("ij,ij->i", q, q)
         rough = q2[:, None] + p2[None, :] - 2.0 * (q @ pv.T)
-        if len(pv) > k:
-            edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
-            slack = 1e-11 * (q2 + p2.max() + 1.0)
-            mask = rough <= (edge + slack)[:, None]
-        else:
-            mask = np.ones_like(rough, dtype=bool)
-        for i in range(len(q)):
-            c = np.flatnonzero(mask[i])
-            diff = pv[c] - q[i]
-            # cumsum adds from left to right, so equal sums tie exactly
-            dist = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
-            order = np.lexsort((ids[c], dist))[:k]
-            out.append((ids[c][order].tolist(), dist[order].tolist()))
-    return out
+        edge = rough.min(axis=1) if kk == 1 else np.partition(rough, kk - 1, axis=1)[:, kk - 1]
+        row, col = np.nonzero(rough <= (edge + 1e-11 * (q2 + top + 1.0))[:, None])
+        diff = pv[col] - q[row]
+        # cumsum adds from left to right, so equal sums tie exactly
+        dist = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
+        order = np.lexsort((ids[col], dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < kk
+        out_ids.append(ids[col[keep]].reshape(len(q), kk))
+        out_dist.append(dist[keep].reshape(len(q), kk))
+    return np.vstack(out_ids), np.vstack(out_dist)
+
+
+def _merge(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    if a is None:
+        return b
+    ids, dist = np.hstack([a[0], b[0]]), np.hstack([a[1], b[1]])
+    order = np.lexsort((ids, dist), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1)
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array(col.tolist(), dtype=float)
+    return np.concatenate(col.to_numpy()).astype(float, copy=False).reshape(len(col), -1)
 
 
 def _id_array(values, text: bool) -> np.ndarray:
-    return np.array(list(values), dtype=str if text else np.int64)
+    return np.array(list(values), dtype=str) if text else np.asarray(values, dtype=np.int64)
+
+
+def _near(dists: str = "dists", pids: str = "pids"):
+    """Parallel arrays to one array of (distance, pid)."""
+    return F.arrays_zip(F.col(dists).alias("distance"), F.col(pids).alias("pid")).alias("near")
 
 
 def _distinct_points(points: DataFrame, keep: int, group: list[str]) -> DataFrame:
@@ -87,7 +101,8 @@ def knn_join(
     reps = queries.groupBy(*group, "vec").agg(F.min("qid").alias("rep"), F.count("*").alias("n"))
     first = pts.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     n_points, dims = first["n"], first["d"] or 0
-    if n_points * (dims * 8 + 64) <= broadcast_bytes:
+    fits = n_points * (dims * 8 + 64) <= broadcast_bytes
+    if fits and n_points * queries.count() <= BROADCAST_PAIRS:
         found = _search_broadcast(reps, pts, need, group, text)
     else:
         found = _search_cells(reps, pts, need, group, text, n_points, block_rows, pivots, hot_visits)
@@ -104,8 +119,9 @@ def _spread(queries: DataFrame, reps: DataFrame, found: DataFrame, k: int, group
     floor = max(n // HOT_SHARE, 10_000)
     on = [*group, "vec"]
     plain = queries.select(*group, "qid", "vec")
-    if n > floor:
-        hot = reps.where(F.col("n") > floor).select(*on, F.lit(True).alias("_hot"))
+    hot = reps.where(F.col("n") > floor).select(*on, F.lit(True).alias("_hot"))
+    if n > floor and not hot.isEmpty():
+        found = cut_lineage(found)
         marked = plain.join(F.broadcast(hot), on, "left")
         hot_lists = found.join(F.broadcast(hot), on, "left_semi")
         full = (
@@ -134,37 +150,26 @@ def _search_broadcast(reps: DataFrame, pts: DataFrame, k: int, group: list[str],
     shared = spark.sparkContext.broadcast(tables)
     id_type = dict(pts.dtypes)["pid"]
     cols = [f"{group[0]} {dict(reps.dtypes)[group[0]]}"] if group else []
-    schema = ", ".join([*cols, "vec array<double>", f"near array<struct<distance:double,pid:{id_type}>>"])
+    schema = ", ".join([*cols, "vec array<double>", f"dists array<double>, pids array<{id_type}>"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for pdf in batches:
-            near = [[]] * len(pdf)
-            for g, rows in pdf.reset_index(drop=True).groupby(group[0]).groups.items() if group else [(None, range(len(pdf)))]:
+            pdf = pdf.reset_index(drop=True)
+            for g, rows in pdf.groupby(group[0]).groups.items() if group else [(None, pdf.index)]:
                 if g not in known or not len(rows):
                     continue
                 vecs, ids = known[g]
-                rows = list(rows)
-                q = _matrix(pdf["vec"].iloc[rows])
-                best = [([], [])] * len(rows)
-                for s in range(0, len(ids), BLOCK_ROWS * 4):
-                    part = _best(q, vecs[s : s + BLOCK_ROWS * 4], ids[s : s + BLOCK_ROWS * 4], k)
-                    best = [_merge(a, b, k) for a, b in zip(best, part)]
-                for r, (i, d) in zip(rows, best):
-                    near[r] = [{"distance": x, "pid": y} for x, y in zip(d, i)]
-            yield pdf[[*group, "vec"]].assign(near=near)
+                part = pdf.loc[rows, [*group, "vec"]]
+                q, best = _matrix(part["vec"]), None
+                for s in range(0, len(ids), BLOCK_ROWS):
+                    best = _merge(best, _best(q, vecs[s : s + BLOCK_ROWS], ids[s : s + BLOCK_ROWS], k), k)
+                yield part.assign(dists=list(best[1]), pids=list(best[0]))
 
     # the search is heavy per row, so spread it over all cores whatever the byte size
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = reps.select(*group, "vec").repartition(max(width, spark.sparkContext.defaultParallelism))
-    return spread.mapInPandas(search, schema)
-
-
-def _merge(a: tuple[list, list], b: tuple[list, list], k: int) -> tuple[list, list]:
-    if not a[0]:
-        return b
-    both = sorted(zip(a[1] + b[1], a[0] + b[0]))[:k]
-    return [i for _, i in both], [d for d, _ in both]
+    return spread.mapInPandas(search, schema).select(*group, "vec", _near())
 
 
 # ---- cells -----------------------------------------------------------------------------
@@ -255,8 +260,7 @@ def _search_cells(
 
     visit_schema = ", ".join([*g_cols, "vec array<double>", "cell int", "block int"])
     first = reps.select(*group, "vec").mapInPandas(home, visit_schema)
-    near_type = f"array<struct<distance:double,pid:{id_type}>>"
-    seen = cut_lineage(_scan(first, located, k, group, text, near_type, hot_visits))
+    seen = cut_lineage(_scan(first, located, k, group, text, hot_visits))
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Second visit: every block that may hold a point within the bound found so far."""
@@ -269,7 +273,7 @@ def _search_cells(
                 for s in range(0, len(rows), QUERY_ROWS):
                     part = pdf.iloc[rows[s : s + QUERY_ROWS]]
                     d = _distances(_matrix(part["vec"]), c)
-                    reach = np.array([x[-1]["distance"] if len(x) >= k else np.inf for x in part["near"]])
+                    reach = np.array([x[-1] if len(x) >= k else np.inf for x in part["dists"]])
                     if len(i["flat"]) >= k:
                         far = np.partition(d[:, i["flat_cell"]] + i["flat"][None, :], k - 1, axis=1)[:, k - 1]
                         reach = np.minimum(reach, far + slack)
@@ -293,14 +297,14 @@ def _search_cells(
                         yield parts.pop()
 
     second = seen.mapInPandas(others, visit_schema)
-    more = _scan(second, located, k, group, text, near_type, hot_visits)
-    every = seen.select(*group, "vec", "near").unionByName(more.select(*group, "vec", "near"))
+    more = _scan(second, located, k, group, text, hot_visits)
+    every = seen.select(*group, "vec", _near()).unionByName(more.select(*group, "vec", _near()))
     w = Window.partitionBy(*group, "vec").orderBy("x.distance", "x.pid")
     best = every.select(*group, "vec", F.explode("near").alias("x")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     return best.groupBy(*group, "vec").agg(F.array_sort(F.collect_list("x")).alias("near"))
 
 
-def _scan(visits: DataFrame, located: DataFrame, k: int, group: list[str], text: bool, near_type: str, hot_visits: int) -> DataFrame:
+def _scan(visits: DataFrame, located: DataFrame, k: int, group: list[str], text: bool, hot_visits: int) -> DataFrame:
     """Bring visits to their block and search it: points first, then queries, in one sorted stream.
 
     Blocks with very many visits are split by a salt; their points are repeated per salt. The
@@ -319,7 +323,8 @@ def _scan(visits: DataFrame, located: DataFrame, k: int, group: list[str], text:
     width = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = stream.repartition(width, *keys).sortWithinPartitions(*keys, "side")
     g_cols = [f"{group[0]} {dict(visits.dtypes)[group[0]]}"] if group else []
-    schema = ", ".join([*g_cols, "vec array<double>", "cell int", "block int", f"near {near_type}"])
+    id_type = dict(located.dtypes)["pid"]
+    schema = ", ".join([*g_cols, "vec array<double>", "cell int", "block int", f"dists array<double>, pids array<{id_type}>"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, vecs, ids = None, [], []
@@ -338,15 +343,13 @@ def _scan(visits: DataFrame, located: DataFrame, k: int, group: list[str], text:
                     ids.append(_id_array(run["pid"], text))
                     table = None
                     continue
-                if not vecs:
-                    near = [[] for _ in range(len(run))]
-                else:
+                out = run[[*group, "vec", "cell", "block"]]
+                if vecs:
                     if table is None:
                         table = (np.vstack(vecs), np.concatenate(ids))
-                    near = [
-                        [{"distance": x, "pid": y} for x, y in zip(d, i)]
-                        for i, d in _best(_matrix(run["vec"]), table[0], table[1], k)
-                    ]
-                yield run[[*group, "vec", "cell", "block"]].assign(near=near)
+                    pids, dists = _best(_matrix(run["vec"]), table[0], table[1], k)
+                    yield out.assign(dists=list(dists), pids=list(pids))
+                else:
+                    yield out.assign(dists=[[]] * len(out), pids=[[]] * len(out))
 
     return ordered.mapInPandas(search, schema)

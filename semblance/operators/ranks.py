@@ -16,52 +16,64 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semblance.functions.rand import digest
-from semblance.operators.frames import melt
+from semblance.operators.frames import const_array, melt
 
 BUCKETS = 1024
 SECTION = 32
 SKETCH_ACCURACY = 20_000
 SMALL_DISTINCT = 100_000
-
-
-def _sections(edges: list[float]) -> tuple[list[float], list[list[float]]]:
-    """Split sorted edges so that a bucket is found with two short scans."""
-    parts = [edges[i : i + SECTION] for i in range(0, len(edges), SECTION)] or [[]]
-    return [p[0] for p in parts[1:]], parts
+SMALL_SERIES = 1_000_000
 
 
 def bucket_edges(long: DataFrame, by: str, value: str = "value", buckets: int = BUCKETS) -> dict[str, list[float]]:
     """Sorted distinct edges per series: near-equal row shares, one sketch pass."""
-    grid = [i / buckets for i in range(1, buckets)]
+    grid = const_array([i / buckets for i in range(1, buckets)], "double")
     rows = long.groupBy(by).agg(F.percentile_approx(value, grid, SKETCH_ACCURACY).alias("e")).collect()
     return {r[by]: sorted(set(r["e"] or [])) for r in rows}
 
 
+def bucket_of(edges: list[float], v: Column) -> Column:
+    """How many sorted edges are <= v, in two short scans over a literal; monotone in v."""
+    whole = const_array(edges, "double")
+    heads = const_array(edges[SECTION::SECTION], "double") if len(edges) > SECTION else None
+    major = F.size(F.filter(heads, lambda e: e <= v)) if heads is not None else F.lit(0)
+    section = F.slice(whole, major * SECTION + 1, F.lit(SECTION))
+    return major * (SECTION + 1) + F.size(F.filter(section, lambda e: e <= v))
+
+
 def with_bucket(long: DataFrame, edges: dict[str, list[float]], by: str, value: str = "value") -> DataFrame:
-    """Add ``_bucket``: how many edges are <= value (grouped by section, still monotone)."""
-    spark = long.sparkSession
-    table = spark.createDataFrame(
-        [(k, *_sections(e)) for k, e in edges.items()],
-        f"{by} string, _coarse array<double>, _fine array<array<double>>",
-    )
-    v = F.col(value)
-    joined = long.join(F.broadcast(table), by)
-    major = F.size(F.filter("_coarse", lambda e: e <= v))
-    joined = joined.withColumn("_major", major)
-    minor = F.size(F.filter(F.element_at("_fine", F.col("_major") + 1), lambda e: e <= v))
-    return joined.withColumn("_bucket", F.col("_major") * (SECTION + 1) + minor).drop("_coarse", "_fine", "_major")
+    """Add ``_bucket``, the position of the value among the edges of its series."""
+    out = F.lit(0)
+    for name, e in edges.items():
+        if e:
+            out = F.when(F.col(by) == name, bucket_of(e, F.col(value))).otherwise(out)
+    return long.withColumn("_bucket", out)
 
 
-def running_counts(long: DataFrame, by: str, tallies: dict[str, Column], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
+def running_counts(
+    long: DataFrame, by: str, tallies: dict[str, Column], value: str = "value", buckets: int = BUCKETS, small: int = SMALL_SERIES
+) -> DataFrame:
     """One row per (series, distinct value) in sorted order, with neighbours in that order.
 
-    Besides the tallies there are inclusive running tallies ``cum_*`` and ``after``, the struct
-    (value, tallies) of the next larger value. Equal values are pre-aggregated before the
-    shuffle, so a value holding a third of all rows is one row afterwards.
+    Besides the tallies there are their totals per series (``total_*``), inclusive running
+    tallies (``cum_*``) and ``after``, the struct (value, tallies) of the next larger value.
+    Equal values are pre-aggregated before the shuffle, so a value holding a third of all rows
+    is one row afterwards. A series is windowed as one group only when it is counted to be small.
     """
-    edges = bucket_edges(long, by, value, buckets)
+    sizes = long.groupBy(by).agg(F.count(value).alias("_n"), *[t.alias(n) for n, t in tallies.items()]).collect()
     counted = long.groupBy(by, value).agg(*[t.alias(n) for n, t in tallies.items()])
+    total = {n: F.lit(0) for n in tallies}
+    for r in sizes:
+        total = {n: F.when(F.col(by) == r[by], F.lit(r[n])).otherwise(t) for n, t in total.items()}
     cell = F.struct(value, *tallies)
+    if all(r["_n"] <= small for r in sizes):
+        inside = Window.partitionBy(by).orderBy(value)
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        return counted.select(
+            by, value, *tallies, *[t.alias(f"total_{n}") for n, t in total.items()],
+            *[F.sum(n).over(upto).alias(f"cum_{n}") for n in tallies], F.lead(cell).over(inside).alias("after"),
+        )
+    edges = bucket_edges(long, by, value, buckets)
     placed = with_bucket(counted, edges, by, value).withColumn("_cell", cell)
     totals = placed.groupBy(by, "_bucket").agg(
         F.min("_cell").alias("_first"), *[F.sum(n).alias(f"_t_{n}") for n in tallies]
@@ -77,7 +89,7 @@ def running_counts(long: DataFrame, by: str, tallies: dict[str, Column], value:
     # offsets has at most series x buckets rows, so it may be broadcast
     out = placed.join(F.broadcast(offsets), [by, "_bucket"])
     return out.select(
-        by, value, *tallies,
+        by, value, *tallies, *[t.alias(f"total_{n}") for n, t in total.items()],
         *[(F.col(f"_o_{n}") + F.sum(n).over(upto)).alias(f"cum_{n}") for n in tallies],
         F.coalesce(F.lead("_cell").over(inside), F.col("_next")).alias("after"),
     )
@@ -104,7 +116,7 @@ def exact_quantiles(
     light = [c for i, c in enumerate(cols) if c in filled and head[f"d{i}"] <= small]
     heavy = [c for c in filled if c not in light]
     if light:
-        grid = F.array(*[F.lit(p) for p in probs])
+        grid = const_array(probs, "double")
         row = df.agg(*[F.percentile(F.col(c).cast("double"), grid).alias(f"q{i}") for i, c in enumerate(light)]).first()
         out.update({c: list(row[f"q{i}"]) for i, c in enumerate(light)})
     if heavy:
@@ -180,7 +192,7 @@ def number_rows(df: DataFrame, seed: str | int, key: Column, name: str = "idx")
     for b in range(16**digits):
         offsets.append(run)
         run += counts.get(b, 0)
-    start = F.element_at(F.lit(offsets), F.col("_b") + 1).cast("bigint")
+    start = F.element_at(const_array(offsets, "bigint"), F.col("_b") + 1)
     inside = Window.partitionBy("_b").orderBy("_h", "_k")
     out = keyed.withColumn(name, start + F.row_number().over(inside) - 1).drop("_k", "_h", "_b")
     return out, run
