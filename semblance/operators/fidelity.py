@@ -72,7 +72,8 @@ def ks_two_sample(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataF
     out = steps.groupBy("column").agg(
         F.max("gap").alias("ks"), F.first("total_n_real").alias("n_real"), F.first("total_n_syn").alias("n_syn")
     )
-    n = F.col("n_real") * F.col("n_syn") / (F.col("n_real") + F.col("n_syn"))
+    a, b = F.col("n_real").cast("double"), F.col("n_syn").cast("double")
+    n = a * b / (a + b)
     out = out.withColumn("p_value", kolmogorov_tail(F.col("ks") * F.sqrt(n)))
     return out.withColumn("verdict", F.when(F.col("p_value") > P_LIMIT, "PASS").otherwise("FAIL"))
 

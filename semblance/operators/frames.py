@@ -55,6 +55,14 @@ def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def pin(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Fitted table computed once: kept as a literal table up to ``limit`` rows, else checkpointed."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return cut_lineage(df)
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)
+
+
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int = BROADCAST_ROWS, how: str = "left") -> DataFrame:
     """Join with a table that is unique on ``on``.
 

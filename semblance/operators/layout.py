@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semblance.functions.arrays import argmax, one_hot
-from semblance.operators.frames import lookup
+from semblance.operators.frames import lookup, pin
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def fit_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     distinct = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
     w = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    return pin(distinct.withColumn("idx", (F.row_number().over(w) - 1).cast("int")))
 
 
 def cardinalities(dictionary: DataFrame) -> dict[str, int]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from semblance.functions.special import CDF_EDGE, normal_cdf, probit
 from semblance.functions.text import MISSING, OTHER
-from semblance.operators.frames import few_rows, lookup
+from semblance.operators.frames import lookup, pin
 from semblance.operators.layout import label_decode
 from semblance.operators.ranks import exact_quantiles, hash_cut
 
@@ -63,7 +63,7 @@ def fit_frequent(df: DataFrame, cols: Sequence[str], min_freq: int = MIN_CATEGOR
     """(column, value) pairs seen at least ``min_freq`` times."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     counted = df.select(F.inline(cells)).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= min_freq).select("column", "value")
+    return pin(counted.where(F.col("n") >= min_freq).select("column", "value"))
 
 
 def group_rare(df: DataFrame, frequent: DataFrame, cols: Sequence[str], other: str = OTHER) -> DataFrame:
@@ -249,7 +249,7 @@ def decode_synthetic(df: DataFrame, scaler: Params, target_scaler: Params | None
 
 __all__ = [
     "KNOTS", "Params", "clip", "constant_columns", "decode_synthetic", "drop_constant_categories", "empirical_cdf",
-    "few_rows", "fill_missing_category", "fit_clip", "fit_frequent", "fit_median", "fit_minmax",
+    "fill_missing_category", "fit_clip", "fit_frequent", "fit_median", "fit_minmax",
     "fit_quantile_normal", "fit_standard", "group_rare", "impute", "match_moments", "scale", "split_random",
     "split_stratified", "split_threshold", "unscale",
 ]

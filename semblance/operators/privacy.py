@@ -42,10 +42,12 @@ def attack_distances(train: DataFrame, holdout: DataFrame, syn: DataFrame, k: in
     Inputs are (id, vec) frames; scaling uses the synthetic rows.
     """
     members, others, fake = standardize_vectors([train, holdout, syn], syn)
+    # scaled inputs are written once: the search reads them several times
+    fake = cut_lineage(fake)
     real = members.select(F.concat(F.lit("m:"), F.col("id").cast("string")).alias("qid"), "vec").unionByName(
         others.select(F.concat(F.lit("n:"), F.col("id").cast("string")).alias("qid"), "vec")
     )
-    near = knn_join(real, fake.select(F.col("id").alias("pid"), "vec"), k)
+    near = knn_join(cut_lineage(real), fake.select(F.col("id").alias("pid"), "vec"), k)
     dist = near if k == 1 else near.groupBy("qid").agg(F.avg("distance").alias("distance"))
     # the search is dear and every report reads it several times
     return cut_lineage(dist.select(
@@ -82,7 +84,7 @@ def _summary(distances: DataFrame, bounds: Sequence[float] = FPR_BOUNDS, drop_co
     fpr, tpr = F.col("cum_non") / F.col("n_non"), F.col("cum_mem") / F.col("n_member")
     wins = F.sum(F.col("mem") * (F.col("n_non") - F.col("cum_non") + F.col("non") / 2))
     return _roc_steps(distances).groupBy("run").agg(
-        (wins / (F.first("n_member") * F.first("n_non"))).alias("auc"),
+        (wins / (F.first("n_member").cast("double") * F.first("n_non"))).alias("auc"),
         *[F.min(F.when(kept & (fpr >= b), tpr)).alias(f"tpr_at_{round(b * 100)}_fpr") for b in bounds],
         F.first("m").alias("member_mean"), F.first("n").alias("nonmember_mean"),
         F.first("n_member").alias("n_member"), F.first("n_non").alias("n_nonmember"),
@@ -149,7 +151,7 @@ def privacy_utility_table(utility: DataFrame, privacy: DataFrame) -> DataFrame:
 
 def closest_records(syn: DataFrame, real: DataFrame) -> DataFrame:
     """(id, nearest, distance): each synthetic row and its nearest real row, scaled by the real rows."""
-    fake, known = standardize_vectors([syn, real], real)
+    fake, known = (cut_lineage(x) for x in standardize_vectors([syn, real], real))
     near = knn_join(fake.select(F.col("id").alias("qid"), "vec"), known.select(F.col("id").alias("pid"), "vec"), 1)
     return near.select(F.col("qid").alias("id"), F.col("pid").alias("nearest"), "distance")
 

@@ -62,9 +62,10 @@ def running_counts(
     """
     sizes = long.groupBy(by).agg(F.count(value).alias("_n"), *[t.alias(n) for n, t in tallies.items()]).collect()
     counted = long.groupBy(by, value).agg(*[t.alias(n) for n, t in tallies.items()])
-    total = {n: F.lit(0) for n in tallies}
+    kind = dict(counted.dtypes)
+    total = {n: F.lit(0).cast(kind[n]) for n in tallies}
     for r in sizes:
-        total = {n: F.when(F.col(by) == r[by], F.lit(r[n])).otherwise(t) for n, t in total.items()}
+        total = {n: F.when(F.col(by) == r[by], F.lit(r[n]).cast(kind[n])).otherwise(t) for n, t in total.items()}
     cell = F.struct(value, *tallies)
     if all(r["_n"] <= small for r in sizes):
         inside = Window.partitionBy(by).orderBy(value)
@@ -198,6 +199,30 @@ def number_rows(df: DataFrame, seed: str | int, key: Column, name: str = "idx")
     return out, run
 
 
+def number_groups(df: DataFrame, seed: str | int, key: Column, by: str, name: str = "idx") -> tuple[DataFrame, dict]:
+    """Number rows 0..n_g-1 inside every group in (hash, key) order; returns the frame and group sizes.
+
+    A group is split over hash buckets, so a huge one is not numbered by one task. Group count
+    times 4096 offsets reach the driver: meant for classes and regions.
+    """
+    digits = _hash_digits(df.sparkSession)
+    keyed = df.withColumn("_k", key.cast("string")).withColumn("_h", digest(seed, F.col("_k")))
+    keyed = keyed.withColumn("_b", _hash_bucket(F.col("_h"), digits))
+    counts: dict = {}
+    for r in keyed.groupBy(by, "_b").count().collect():
+        counts.setdefault(r[by], {})[r["_b"]] = r["count"]
+    start = F.lit(None).cast("bigint")
+    for g, c in counts.items():
+        offsets, run = [], 0
+        for b in range(16**digits):
+            offsets.append(run)
+            run += c.get(b, 0)
+        start = F.when(F.col(by) == F.lit(g), F.element_at(const_array(offsets, "bigint"), F.col("_b") + 1)).otherwise(start)
+    inside = Window.partitionBy(by, "_b").orderBy("_h", "_k")
+    out = keyed.withColumn(name, start + F.row_number().over(inside) - 1).drop("_k", "_h", "_b")
+    return out, {g: sum(c.values()) for g, c in counts.items()}
+
+
 def hash_cut(df: DataFrame, seed: str | int, key: Column, share: float, by: str | None = None, flag: str = "is_test") -> DataFrame:
     """Mark exactly ceil(share * n) rows (per class when ``by`` is given): those first in (hash, key) order.
 
