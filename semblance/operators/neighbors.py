@@ -26,7 +26,7 @@ BROADCAST_PAIRS = 500_000_000
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
 HOT_VISITS = 200_000
-PIVOTS = 1024
+PIVOTS = 16_384
 
 
 def _best(qv: np.ndarray, pv: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,6 +191,16 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
+def _nearest_pivot(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of and distance to the nearest pivot, a slice of rows at a time."""
+    at, off = [], []
+    for s in range(0, len(v), QUERY_ROWS):
+        d = _distances(v[s : s + QUERY_ROWS], pivots)
+        at.append(d.argmin(axis=1))
+        off.append(d.min(axis=1))
+    return np.concatenate(at), np.concatenate(off)
+
+
 def _search_cells(
     reps: DataFrame, pts: DataFrame, k: int, group: list[str], text: bool, n_points: int, block_rows: int, pivots: int, hot_visits: int
 ) -> DataFrame:
@@ -212,9 +222,7 @@ def _search_cells(
             cell, off = np.full(len(pdf), -1), np.zeros(len(pdf))
             for g, rows in split(pdf):
                 if g in centres.value and rows:
-                    d = _distances(_matrix(pdf["vec"].iloc[rows]), centres.value[g])
-                    cell[rows] = d.argmin(axis=1)
-                    off[rows] = d.min(axis=1)
+                    cell[rows], off[rows] = _nearest_pivot(_matrix(pdf["vec"].iloc[rows]), centres.value[g])
             yield pdf.assign(cell=cell, off=off)
 
     point_schema = ", ".join([*g_cols, f"pid {id_type}", "vec array<double>", "cell int", "off double"])
@@ -232,9 +240,8 @@ def _search_cells(
         i["n"][r["cell"]], i["lo"][r["cell"]], i["hi"][r["cell"]] = r["n"], r["lo"], r["hi"]
     for r in inner:
         info[r[group[0]] if group else None]["off"][r["cell"]].append(r["off"])
-    for g, i in info.items():
+    for i in info.values():
         i["blocks"] = np.maximum(1, -(-i["n"] // block_rows))
-        i["gap"] = _distances(centres.value[g], centres.value[g])
         i["flat"] = np.array([x for o in i["off"] for x in o])
         i["flat_cell"] = np.array([c for c, o in enumerate(i["off"]) for _ in o], dtype=int)
         del i["off"]
@@ -254,7 +261,7 @@ def _search_cells(
             cell, block = np.full(len(pdf), -1), np.zeros(len(pdf), dtype=int)
             for g, rows in split(pdf):
                 if g in cells.value and rows:
-                    cell[rows] = _distances(_matrix(pdf["vec"].iloc[rows]), centres.value[g]).argmin(axis=1)
+                    cell[rows] = _nearest_pivot(_matrix(pdf["vec"].iloc[rows]), centres.value[g])[0]
                     block[rows] = (np.arange(len(rows)) % cells.value[g]["blocks"][cell[rows]]).astype(int)
             yield pdf.assign(cell=cell, block=block)[lambda x: x["cell"] >= 0]
 
@@ -281,7 +288,7 @@ def _search_cells(
                     at = d.argmin(axis=1)
                     near_d = d[np.arange(len(d)), at]
                     low = np.maximum(d - i["hi"][None, :], i["lo"][None, :] - d)
-                    gap = i["gap"][at]
+                    gap = _distances(c[at], c)
                     with np.errstate(divide="ignore", invalid="ignore"):
                         plane = (d * d - (near_d * near_d)[:, None]) / (2.0 * gap)
                     low = np.where(gap > 0, np.maximum(low, plane - slack), low)
