@@ -305,9 +305,12 @@ def e10c(spark, d):
     return docs.select("quality").unionByName(new.select("quality")).groupBy("quality").agg(F.count("*").alias("n"))
 
 
-@query("e10_smote_categories")
+@query("e10_smote_categories", f"WITH {_SMOTE}, vt AS (SELECT nb.idx, b.lang, count(*) AS n FROM nb JOIN d b ON b.doc_id = nb.pid WHERE rk <= 5 GROUP BY 1, 2), "
+       + "best AS (SELECT idx, lang FROM vt QUALIFY row_number() OVER (PARTITION BY idx ORDER BY n DESC, lang) = 1) "
+       + f"SELECT i, 0 AS quality, {R('u')} AS u, " + ", ".join(f"{R(f'a.{c} + u * (b.{c} - a.{c})', 4)} AS {c}" for c in DOC_COLS)
+       + ", best.lang AS lang FROM dr JOIN mi a USING (idx) JOIN nb USING (idx, rk) JOIN d b ON b.doc_id = nb.pid JOIN best USING (idx)")
 def e10v(spark, d):
-    return rounded(O.smote(labelled_documents(spark, d), F.col("doc_id"), DOC_COLS, "quality", cats=["lang"]), 4)
+    return rounded(O.smote(labelled_documents(spark, d), F.col("doc_id"), DOC_COLS, "quality", cats=["lang"]), 4, u=6)
 
 
 _BOX = """q AS (SELECT quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3 FROM events),

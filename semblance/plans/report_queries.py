@@ -86,6 +86,16 @@ def h03v(spark, d):
     return rounded(H.chi_square(line_cols(spark, d), _copy(spark, d), CATS))
 
 
+# three categories leave two degrees of freedom, where the tail is exp(-chi2 / 2)
+_X2 = "sum(((share_syn + 1e-10) - (share_real + 1e-10)) * ((share_syn + 1e-10) - (share_real + 1e-10)) * total_syn / (share_real + 1e-10))"
+
+
+@query("h03_chi_square_p_value", f"""WITH {_SYN}, {_SHARES} SELECT col AS "column", {R(_X2)} AS chi2, count(*) AS n_categories, {R(f'exp(-({_X2}) / 2)')} AS p_value,
+ CASE WHEN exp(-({_X2}) / 2) > 0.05 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM sh WHERE col = 'l_returnflag' GROUP BY col""")
+def h03x(spark, d):
+    return rounded(H.chi_square(line_cols(spark, d), _copy(spark, d), ["l_returnflag"]))
+
+
 _CELLS = " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, " + ("1.0::double AS rr, 1.0::double AS rs" if a == b else
     f"(SELECT corr({a}, {b}) FROM lineitem) AS rr, (SELECT corr({a}, {b}) FROM syn) AS rs") for a in DIMS for b in DIMS)

@@ -98,6 +98,9 @@ def _knn_label_sql(k: int) -> str:
  SELECT doc_id, quality FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, quality) = 1"""
 
 
+_TRAIN = f"WITH {_DSPLIT} SELECT quality FROM tr"
+
+
 def _doc_split(spark, d):
     s = split_stratified(labelled_documents(spark, d), F.col("doc_id"), "quality")
     return s.where("NOT is_test").drop("is_test"), s.where("is_test").drop("is_test")
@@ -125,7 +128,13 @@ def e07(spark, d):
     return A.assign_labels_proportional(docs, F.col("doc_id"), table(spark, d, "labels"), "quality")
 
 
-@query("e08_assign_labels_auto")
+_AUTO = f"""k AS ({_knn_label_sql(5)}), nc AS (SELECT count(DISTINCT quality) >= 2 AS ok FROM k),
+ cum AS (SELECT quality, sum(count(*)) OVER (ORDER BY quality) / sum(count(*)) OVER () AS cum FROM ({_TRAIN}) GROUP BY quality)
+ SELECT doc_id, CASE WHEN ok THEN k.quality ELSE (SELECT min(quality) FROM cum WHERE cum.cum > {S.uniform('42/label', 'doc_id')}) END AS quality,
+ ok AS score_alone, CASE WHEN ok THEN 'knn' ELSE 'proportional' END AS used FROM k, nc"""
+
+
+@query("e08_assign_labels_auto", f"WITH {_AUTO}")
 def e08(spark, d):
     train, test = _doc_split(spark, d)
     out, used = A.assign_labels_auto(test.drop("quality"), "doc_id", train, "doc_id", DOC_COLS, "quality")

@@ -58,3 +58,14 @@ def test_smogn_follows_its_plan(spark):
     plan = {r.region: r.kept + r.added for r in O.smogn_regions(df, "y").collect()}
     got = {r.region: r["count"] for r in O.smogn(df, F.col("id"), ["x"], "y").groupBy("region").count().collect()}
     assert got == plan
+
+
+def test_label_dropout_by_row_and_by_batch(spark):
+    df = toy(spark, 600).withColumn("label", F.lit("a"))
+    run = lambda **kw: D.training_pairs(df, ["x"], {"code": 2}, D.noise_schedule(20), F.col("id"), label="label", **kw)
+    share = run(label_dropout=0.3).agg(F.avg(F.col("label").isNull().cast("int"))).first()[0]
+    assert 0.2 < share < 0.4
+    assert run(label_dropout=0.3, batch_size=50).where("label IS NULL").count() == 0
+    assert run(label_dropout=1.0, batch_size=50).where("label IS NOT NULL").count() == 0
+    post = run(repeats=2).select(F.aggregate(F.transform("post_code", F.exp), F.lit(0.0), lambda a, x: a + x).alias("s"))
+    assert post.count() == 1200 and post.where(F.abs(F.col("s") - 1) > 1e-9).count() == 0
