@@ -12,6 +12,7 @@ import bisect
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +20,9 @@ from semblance.functions.rand import digest
 from semblance.operators.frames import const_array, melt
 
 BUCKETS = 1024
-SECTION = 32
 SKETCH_ACCURACY = 20_000
 SMALL_DISTINCT = 100_000
-SMALL_SERIES = 1_000_000
+SMALL_SERIES = 4_000_000
 
 
 def bucket_edges(long: DataFrame, by: str, value: str = "value", buckets: int = BUCKETS) -> dict[str, list[float]]:
@@ -32,22 +32,18 @@ def bucket_edges(long: DataFrame, by: str, value: str = "value", buckets: int =
     return {r[by]: sorted(set(r["e"] or [])) for r in rows}
 
 
-def bucket_of(edges: list[float], v: Column) -> Column:
-    """How many sorted edges are <= v, in two short scans over a literal; monotone in v."""
-    whole = const_array(edges, "double")
-    heads = const_array(edges[SECTION::SECTION], "double") if len(edges) > SECTION else None
-    major = F.size(F.filter(heads, lambda e: e <= v)) if heads is not None else F.lit(0)
-    section = F.slice(whole, major * SECTION + 1, F.lit(SECTION))
-    return major * (SECTION + 1) + F.size(F.filter(section, lambda e: e <= v))
-
-
 def with_bucket(long: DataFrame, edges: dict[str, list[float]], by: str, value: str = "value") -> DataFrame:
-    """Add ``_bucket``, the position of the value among the edges of its series."""
-    out = F.lit(0)
-    for name, e in edges.items():
-        if e:
-            out = F.when(F.col(by) == name, bucket_of(e, F.col(value))).otherwise(out)
-    return long.withColumn("_bucket", out)
+    """Add ``_bucket``, how many edges of its series are <= the value (a binary search on the JVM)."""
+    out, pick, extra = long, F.lit(0), []
+    for i, (name, e) in enumerate(edges.items()):
+        if not e:
+            continue
+        splits = [-math.inf, *e, math.inf]
+        col = f"_b{i}"
+        out = Bucketizer(splits=splits, inputCol=value, outputCol=col, handleInvalid="keep").transform(out)
+        pick = F.when(F.col(by) == name, F.col(col).cast("int")).otherwise(pick)
+        extra.append(col)
+    return out.withColumn("_bucket", pick).drop(*extra)
 
 
 def running_counts(
