@@ -85,8 +85,8 @@ def fit_regressors(
     """Random forest, gradient boosting and ridge under their report names.
 
     Forests default to depth 8: a level costs a pass over the rows per group of nodes, so deep
-    trees grow costly at scale; raise ``depth`` where it pays. Scores are comparable to,
-    not equal to, those of exact-split libraries, since features are binned.
+    trees grow costly at scale; raise ``depth`` where it pays. Scores differ from those of
+    exact-split, unlimited-depth libraries: features are binned and depth is limited.
     """
     return {
         "Random Forest": _mllib(lambda _: RandomForestRegressor(
