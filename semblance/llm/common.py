@@ -89,17 +89,17 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/semblance-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        path = f"{self.root}/{len(self.tables)}"
         df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(kept)] = path
+        self.tables.append((kept, path))
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(t)])
+        for name in [p for t, p in self.tables if any(t is x for x in tables)]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semblance.llm.common import Scratch, map_texts
+from semblance.llm.url_filter import BLOCK_BYTES, BROADCAST_FILTER_BYTES, bloom_blocks, filter_blocks, possible_hits
 
 SHINGLE, THRESHOLD = 3, 0.85
 BUCKET_BITS, BUCKETS, MANTISSA = 7, 128, 10
 BANDS, ROWS = 25, 5
-BLOCK = 2048
+BLOCK_SHINGLES = 500_000
 #: Ids of rows without a doc_id start here, so that real ids are the smaller ones.
 NO_ID = 1 << 62
 _U = np.uint64
@@ -123,10 +124,21 @@ def likely(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInPandas(estimate, "a long, b long")
 
 
-def linked(pairs: DataFrame, base: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def texts_of(base: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, text) of the documents in ``ids``, written once.
+
+    A Bloom filter of the ids, broadcast as long as its size allows, keeps most other texts out of
+    the shuffle; the exact semi-join decides.
+    """
+    ids = scratch.keep(ids)
+    blocks = filter_blocks(ids.count())
+    if blocks * BLOCK_BYTES <= BROADCAST_FILTER_BYTES:
+        base = possible_hits(base, F.col("id"), bloom_blocks(ids.select(F.col("id").alias("key")), blocks), blocks)
+    return scratch.keep(base.join(ids, "id", "left_semi"))
+
+
+def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = scratch.keep(base.join(ids, "id", "left_semi"))
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
@@ -154,53 +166,68 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")))
-    while True:
+    changed = True
+    while changed:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = scratch.keep(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")))
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        new = scratch.keep(step.join(jump, "comp").select("node", "old", F.col("next").alias("comp")))
-        changed = not new.where("old != comp").isEmpty()
+        new = scratch.keep(step.join(jump, "comp").select("node", F.col("next").alias("comp"), (F.col("old") != F.col("next")).alias("moved")))
+        changed = not new.where("moved").isEmpty()
         scratch.drop(step, labels)
-        labels = new.drop("old")
-        scratch.paths[id(labels)] = scratch.paths[id(new)]
-        if not changed:
-            scratch.drop(both)
-            return labels
-
-
-def block_pairs(members: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components in the same bucket, from (key, node, comp, n_key).
-
-    The members of a bucket are dealt to blocks of about 2,048. All members outside the bucket's
-    largest component visit every block, so each pair of components meets, while the members of the
-    largest one are compared with the others only. A task holds one block at a time and lets the
-    visitors stream past.
+        labels = new
+    scratch.drop(both)
+    return labels.select("node", "comp")
+
+
+class Block:
+    """The shingle sets of some documents, from shingle to documents."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
+        self.nodes, self.comps = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        self.sizes = np.array([len(r[2]) for r in rows], np.int64)
+        keys = np.concatenate([r[2] for r in rows])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], np.repeat(np.arange(len(rows)), self.sizes)[order]
+
+    def links(self, comp: int, shingles: np.ndarray, percent: int) -> list[int]:
+        """Nodes of other components that the percentage links with these shingles."""
+        low, high = np.searchsorted(self.keys, shingles, "left"), np.searchsorted(self.keys, shingles, "right")
+        runs = high - low
+        at = np.arange(runs.sum()) + np.repeat(low - np.cumsum(runs) + runs, runs)
+        both = np.bincount(self.owners[at], minlength=len(self.nodes))
+        fit = (self.comps != comp) & (both > 0) & (100 * both >= percent * (self.sizes + len(shingles) - both))
+        return self.nodes[fit].tolist()
+
+
+def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components in the same bucket, from members (key, node, comp, n).
+
+    The members of a bucket are dealt to blocks of about ``BLOCK_SHINGLES`` shingles. All members
+    outside the bucket's largest component visit every block, so each two components meet, while
+    the members of the largest one are compared with the others only. A task holds the sets of one
+    block and lets the visitors stream past; only links leave it, on full sets.
     """
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", "m").alias("main"))
-    blocks = F.ceil(F.col("n_key") / BLOCK).cast("int")
-    dealt = members.join(main, "key").select("key", "node", "comp", blocks.alias("blocks"), (F.col("comp") != F.col("main")).alias("visits"))
-    dealt = dealt.join(heads.select("node", "regs", "n"), "node")
-    own = dealt.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "comp", "regs", "n")
-    visit = dealt.where("visits").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "comp", "regs", "n")
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("mass"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", "m").alias("main"), F.ceil(F.sum("mass") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = members.join(main, "key").select("key", "node", "comp", "blocks", (F.col("comp") != F.col("main")).alias("visits"))
+    dealt = dealt.join(texts.withColumnRenamed("id", "node"), "node")
+    own = dealt.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "comp", "text")
+    visit = dealt.where("visits").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "comp", "text")
     ordered = own.unionByName(visit).repartition("key", "block").sortWithinPartitions("key", "block", "role")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, held = None, []
+        here, rows, block = None, [], None
         for pdf in batches:
             out = []
-            for (key, block), g in pdf.groupby(["key", "block"], sort=False):
-                if here != (key, block):
-                    here, held = (key, block), []
-                mine = g[g["role"] == 0]
-                if len(mine):
-                    held.append((mine["node"].to_numpy(), mine["comp"].to_numpy(), mine["n"].to_numpy(), np.frombuffer(b"".join(mine["regs"]), np.uint16).reshape(-1, BUCKETS)))
-                for v in g[g["role"] == 1].itertuples():
-                    theirs = np.frombuffer(v.regs, np.uint16)
-                    for node, comp, n, regs in held:
-                        est = estimated_jaccard((regs == theirs).mean(axis=1))
-                        ok = (comp != v.comp) & (est >= least_estimate(threshold, np.minimum(n, v.n))) & (np.minimum(n, v.n) >= threshold * np.maximum(n, v.n))
-                        out += [(min(x, v.node), max(x, v.node)) for x in node[ok].tolist()]
+            for key, part, role, node, comp, text in zip(*(pdf[c] for c in ("key", "block", "role", "node", "comp", "text")), strict=True):
+                if here != (key, part):
+                    here, rows, block = (key, part), [], None
+                shingles = shingle_set(text, size)
+                if role == 0:
+                    rows.append((node, comp, shingles))
+                elif rows:
+                    block = block or Block(rows)
+                    out += [(min(x, node), max(x, node)) for x in block.links(comp, shingles, percent)]
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return ordered.mapInPandas(compare, "a long, b long").distinct()
@@ -212,10 +239,11 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     Texts are linked if their sets of word shingles have 100 * intersection >= percent * union;
     component_id is the least id that links reach. Equal sets are one class, found by a 128-bit
     digest and represented by its least id. HyperMinHash registers of a class are banded; every
-    member of a bucket is compared with the bucket's least member, and afterwards with all members
-    that are not yet in its component. An estimate from the registers, corrected for chance, drops
-    pairs six deviations below the threshold; the full sets decide on the others. No pair inside a
-    component is made, and no bucket is cut.
+    member of a bucket is first compared with the bucket's least member: an estimate from the registers,
+    corrected for chance, drops pairs six deviations below the threshold, and the full sets decide
+    on the others. In buckets that still hold several components, members of different ones are
+    compared on full sets, block by block. No pair inside a component is made, no bucket is cut, and
+    only links leave the blocks.
 
     25 bands of 5 registers miss a pair at the threshold of 0.85 (0.8) with a chance of 1e-6 (1e-4),
     and less above. Null and empty texts have an empty set and stand alone. A row without id gets
@@ -238,19 +266,17 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     bands = heads.select("node", F.explode("bands").alias("key"))
     pivots = scratch.keep(bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("far"), F.count("*").alias("n_key")).where("a < far").drop("far"))
     star = bands.join(pivots, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    texts = base.select("id", "text")
-    tried = scratch.keep(likely(star, heads, threshold))
-    links = linked(tried, texts, size, percent, scratch)
+    star = scratch.keep(star)
+    texts = texts_of(base.select("id", "text"), star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), scratch)
+    links = linked(scratch.keep(likely(star, heads, threshold)), texts, size, percent, scratch)
     labels = components(links, scratch)
 
     named = F.coalesce("comp", "node")
-    open_keys = bands.join(pivots.where("n_key > 2").select("key", "n_key"), "key").join(labels, "node", "left").select("key", "node", named.alias("comp"), "n_key")
-    open_keys = scratch.keep(open_keys)
-    mixed = open_keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    members = open_keys.join(mixed, "key", "left_semi")
-    more = scratch.keep(block_pairs(members, heads, threshold).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = linked(more, texts, size, percent, scratch)
+    crowded = bands.join(pivots.where("n_key > 2").select("key"), "key").join(heads.select("node", "n"), "node")
+    crowded = scratch.keep(crowded.join(labels, "node", "left").select("key", "node", "n", named.alias("comp")))
+    mixed = crowded.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    found = scratch.keep(block_links(crowded.join(mixed, "key", "left_semi"), texts, size, percent))
+    if not found.isEmpty():
         labels = components(links.unionByName(found), scratch)
     done = rows.join(labels, "node", "left").select("given", "id", "th", "n", named.alias("comp"))
     return done.select(

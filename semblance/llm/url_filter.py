@@ -63,6 +63,23 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     return keys.select(_place(F.col("key"), blocks).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
+def filter_blocks(keys: int) -> int:
+    return max(1, math.ceil(keys * BITS_PER_URL / (64 * WORDS)))
+
+
+def probed_keys(df: DataFrame, key: Column, bloom: DataFrame, blocks: int) -> DataFrame:
+    """The columns of ``df`` and ``maybe``: all eight bits of the key are set in its block."""
+    hit = F.lit(True)
+    for i, b in enumerate(_bits(key)):
+        hit = hit & (F.col(f"w{i}").bitwiseAND(b) != 0)
+    return df.withColumn("block", _place(key, blocks)).join(bloom, "block", "left").select(*df.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
+def possible_hits(df: DataFrame, key: Column, bloom: DataFrame, blocks: int) -> DataFrame:
+    """Rows of ``df`` whose key may be in a filter that is small enough to broadcast."""
+    return probed_keys(df, key, F.broadcast(bloom), blocks).where("maybe").drop("maybe")
+
+
 def listed_keys(urls: DataFrame, listed: DataFrame, url: str = "url", broadcast_bytes: int = BROADCAST_FILTER_BYTES) -> DataFrame:
     """(key, maybe, listed) of each row of ``urls`` (columns kept in ``row``).
 
@@ -73,15 +90,12 @@ def listed_keys(urls: DataFrame, listed: DataFrame, url: str = "url", broadcast_
     """
     scratch = Scratch(urls.sparkSession)
     keys = scratch.keep(listed.select(canonical_url(F.col("url")).alias("key")).where("key != ''").distinct())
-    blocks = max(1, math.ceil(keys.count() * BITS_PER_URL / (64 * WORDS)))
+    blocks = filter_blocks(keys.count())
     bloom = bloom_blocks(keys, blocks)
     if blocks * BLOCK_BYTES <= broadcast_bytes:
         bloom = F.broadcast(bloom)
     probe = urls.select(F.struct("*").alias("row"), canonical_url(F.col(url)).alias("key"))
-    hit = F.lit(True)
-    for i, b in enumerate(_bits(F.col("key"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(b) != 0)
-    probed = probe.withColumn("block", _place(F.col("key"), blocks)).join(bloom, "block", "left").select("row", "key", F.coalesce(hit, F.lit(False)).alias("maybe"))
+    probed = probed_keys(probe, F.col("key"), bloom, blocks)
     probed = scratch.keep(probed)
     exact = keys.withColumn("listed", F.lit(True))
     hits = probed.where("maybe").join(exact, "key", "left").select("row", "key", "maybe", F.coalesce("listed", F.lit(False)).alias("listed"))
