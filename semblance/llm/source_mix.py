@@ -75,6 +75,7 @@ def mix_counts(docs: DataFrame, ident: str = "doc_id", text: str = "text", sourc
     goals = source_targets(sizes, weights, most, seed)
     keyed = sizes.select("*", size_class(F.col("size")).alias("class"), digest_bits(F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("h"), source_key().alias("skey"))
     strata = keyed.groupBy("skey", "class").agg(F.count("*").alias("n")).select("skey", "class", F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("ranges"))
+    strata = scratch.keep(strata)  # a table of its own, so that Spark can split the rows of a hot class
     cut = keyed.join(strata, ["skey", "class"]).withColumn("range", F.floor(F.col("h").cast("double") / F.lit(float(1 << HASH_BITS)) * F.col("ranges")).cast("long")).drop("ranges")
     cut = scratch.keep(cut)
     before = Window.partitionBy("skey").orderBy("class", "range").rowsBetween(Window.unboundedPreceding, -1)
