@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log, log10
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,15 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, classes: int = CLASSES, known: int = KNOWN) -> Vocabulary:
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, kinds = whole["n"] or 0, whole["v"]
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()
+    # whole classes of counts from the top, as many as fit into the bound: what is collected is bounded by it
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes, least, held = counts.groupBy(step.alias("step")).agg(F.count("*").alias("m")).orderBy(F.desc("step")).collect(), None, 0
+    for r in sizes:
+        held += r["m"]
+        if held > known:
+            break
+        least = r["step"]
+    top = [] if least is None else sorted(counts.where(step >= least).collect(), key=lambda r: (-r["n"], r["word"]))
     table = {r["word"].encode("utf-8", "surrogatepass"): r["n"] for r in top}
     ends = table.get(END_WORD.encode()) or (counts.where(F.col("word") == END_WORD).agg(F.sum("n")).first()[0] or 0)
     table[END_WORD.encode()] = ends
@@ -218,35 +227,37 @@ def score_texts(base: DataFrame, model: LogBilinear, log_z: np.ndarray, vocab: V
 
     def make():
         m, z, voc = shared.value
-        get, named = voc.counts.get, voc.classes
-        log10 = np.log(10.0)
+        end = END_WORD.encode()
+        parts, named, ends = {w: log10(c + 0.5) for w, c in voc.counts.items()}, voc.classes, voc.counts[end]
+        get = parts.get
 
         def work(texts):
-            out = {k: [] for k in ("n_tokens", "n_known", "base_part", "model_part", "rest", "n_rare")}
+            cols: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_part", "model_part", "n_rare")}
+            rest_words, rest_counts, offsets = [], [], [0]
             for t in texts:
                 words = tokens(t)
                 target, a, b = contexts(voc.ids(words))
-                s = ((m.near[a] + m.far[b]) * m.out[target]).sum(axis=1) + m.bias[target] - z[a, b]
-                model_part, base_part, known, rest = float(s.sum(dtype=np.float64)) / log10, 0.0, 0, []
+                s = np.einsum("ij,ij->i", m.near[a] + m.far[b], m.out[target]) + m.bias[target] - z[a, b]
+                model_part, base_part, unknown = float(s.sum(dtype=np.float64)) / log(10), parts[end], 0
                 for w, f in Counter(words).items():
-                    c = get(w)
-                    if c is None:
-                        rest.append({"word": w.decode("utf-8", "surrogatepass"), "f": f})
+                    part = get(w)
+                    if part is None:
+                        rest_words.append(w.decode("utf-8", "surrogatepass")), rest_counts.append(f)
+                        unknown += f
                         continue
-                    part = f * np.log10(c + 0.5)
-                    base_part, known = base_part + part, known + f
+                    base_part += f * part
                     if w not in named:
-                        model_part += part
-                ends = get(END_WORD.encode(), 0)
-                out["n_tokens"].append(len(words) + 1), out["n_known"].append(known + (ends > 0))
-                out["base_part"].append(float(base_part + np.log10(ends + 0.5))), out["model_part"].append(float(model_part)), out["rest"].append(rest)
-                out["n_rare"].append(int((target == RARE).sum()))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("f", pa.int64())])), pa.int64())
-            return {k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=True)}
+                        model_part += f * part
+                offsets.append(len(rest_words))
+                cols["n_tokens"].append(len(words) + 1), cols["n_known"].append(len(words) - unknown + (ends > 0))
+                cols["base_part"].append(base_part), cols["model_part"].append(model_part), cols["n_rare"].append(int((target == RARE).sum()))
+            rest = pa.StructArray.from_arrays([pa.array(rest_words, pa.string()), pa.array(rest_counts, pa.int64())], names=["word", "f"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            return {k: pa.array(v, kind) for (k, v), kind in zip(cols.items(), kinds, strict=True)} | {"rest": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)}
 
         return work
 
-    return map_texts(base, make, "n_tokens long, n_known long, base_part double, model_part double, rest array<struct<word:string,f:bigint>>, n_rare long")
+    return map_texts(base, make, "n_tokens long, n_known long, base_part double, model_part double, n_rare long, rest array<struct<word:string,f:bigint>>")
 
 
 def lm_scores(docs: DataFrame, ident: str = "doc_id", text: str = "text", trains=None, rounds: int = 2) -> DataFrame:
