@@ -126,4 +126,5 @@ _RAW = f"""SELECT p_partkey,
  {locale_sql('p_retailprice')} AS price_text, p_brand, p_type, p_size, p_retailprice,
  CASE WHEN p_partkey % 5 = 4 THEN -1.0::double ELSE cast(p_size AS double) END AS reading FROM part"""
 _GAPS = ("dims_text", "descr", "size_code", "grade", "price_text")
-RAW_PARTS = f"SELECT * REPLACE ({', '.join(f'{null_sql(c, c, chr(112) + '_partkey')} AS {c}' for c in _GAPS)}) FROM ({_RAW})"
+_PART_GAPS = ", ".join(f"{null_sql(c, c, 'p_partkey')} AS {c}" for c in _GAPS)
+RAW_PARTS = f"SELECT * REPLACE ({_PART_GAPS}) FROM ({_RAW})"

@@ -200,6 +200,7 @@ def g14(spark, d):
 
 
 _BAND = "CASE WHEN max(r2) > 0.9 THEN 'HIGH' WHEN max(r2) > 0.7 THEN 'MODERATE' WHEN max(r2) > 0.5 THEN 'MODERATE-LOW' ELSE 'LOW' END"
+_BAND_SHORT = "CASE WHEN max(r2) > 0.9 THEN 'HIGH' WHEN max(r2) > 0.7 THEN 'MODERATE' ELSE 'LOW' END"
 
 
 @query("g15_baseline_band", f"WITH {SCORES} SELECT {R('max(r2)')} AS best_r2, arg_max(model, r2) AS best_model, {_BAND} AS band FROM scores WHERE scenario = 'Original'")
@@ -207,7 +208,7 @@ def g15(spark, d):
     return rounded(U.baseline_band(scores(spark, d).where("scenario = 'Original'")))
 
 
-@query("g15_baseline_band_short", f"WITH {SCORES} SELECT {R('max(r2)')} AS best_r2, arg_max(model, r2) AS best_model, {_BAND.replace(chr(87) + 'HEN max(r2) > 0.5 THEN ' + chr(39) + 'MODERATE-LOW' + chr(39) + ' ', '')} AS band FROM scores WHERE scenario = 'Original'")
+@query("g15_baseline_band_short", f"WITH {SCORES} SELECT {R('max(r2)')} AS best_r2, arg_max(model, r2) AS best_model, {_BAND_SHORT} AS band FROM scores WHERE scenario = 'Original'")
 def g15b(spark, d):
     return rounded(U.baseline_band(scores(spark, d).where("scenario = 'Original'"), with_moderate_low=False))
 
