@@ -49,5 +49,5 @@ def log_normalize(block: Column) -> Column:
 
 
 def log_add_exp(a: Column, b: Column) -> Column:
-    top = F.greatest(a, b)
-    return top + F.ln(F.exp(a - top) + F.exp(b - top))
+    """ln(e^a + e^b) of finite values."""
+    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))

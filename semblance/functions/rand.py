@@ -2,7 +2,8 @@
 
 Every draw is a pure function of (seed, row key), so a result does not depend on
 partitioning, retries or cluster size, and SQL engines can recompute it: the
-uniform of lane ``i`` is the ``i``-th 32-bit word of ``md5('seed:key')`` / 2^32.
+uniform of lane ``i`` is the ``i``-th 32-bit word of ``md5('seed:key')`` / 2^32. Row draws
+use the first 52 bits of the digest, so that every one of n < 2^52 rows can be drawn.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = 4294967296.0
+WIDE = 4503599627370496.0
 
 
 def row_key(*cols: Column | str) -> Column:
@@ -46,6 +48,7 @@ def normal(seed: str | int, key: Column) -> Column:
 
 
 def draw_index(seed: str | int, key: Column, n: int | Column) -> Column:
-    """Uniform integer in [0, n)."""
+    """Uniform integer in [0, n), from the first 52 bits of the digest."""
     n = n if isinstance(n, Column) else F.lit(n)
-    return F.floor(uniform(seed, key) * n).cast("bigint")
+    bits = F.conv(F.substring(digest(seed, key), 1, 13), 16, 10).cast("bigint")
+    return F.floor(bits / F.lit(WIDE) * n).cast("bigint")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 1_000
 
 
@@ -55,6 +56,13 @@ def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when df has at most ``limit`` rows and ``size`` bytes of JSON text; looks at no more than limit + 1 rows."""
+    text = F.octet_length(F.to_json(F.struct("*")))
+    seen = df.limit(limit + 1).select(text.alias("_b")).agg(F.count("*").alias("n"), F.sum("_b").alias("b")).first()
+    return seen["n"] <= limit and (seen["b"] or 0) <= size
+
+
 def pin(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Fitted table computed once: kept as a literal table up to ``limit`` rows, else checkpointed."""
     rows = df.limit(limit + 1).collect()
@@ -66,17 +74,24 @@ def pin(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int = BROADCAST_ROWS, how: str = "left") -> DataFrame:
     """Join with a table that is unique on ``on``.
 
-    Up to ``limit`` rows the table is broadcast. Beyond that the keys that are hot in
+    Up to ``limit`` rows and 64 MB the table is broadcast. Beyond that the keys that are hot in
     ``left`` (more than 1/1000 of its rows, hence fewer than 1000 keys) are joined by
-    broadcast and only the cool rest is shuffled, so no single key fills one task.
+    broadcast and only the cool rest is shuffled, so no single key fills one task. Rows with a
+    null key match nothing and stay out of the shuffle.
     """
     on = list(on)
-    if few_rows(right, limit):
+    if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), on, how)
+    complete = F.lit(True)
+    for c in on:
+        complete = complete & F.col(c).isNotNull()
+    nulls = left.where(~complete).join(F.broadcast(right.where(F.lit(False))), on, how)
+    left = left.where(complete)
     sizes = left.groupBy(*on).agg(F.count("*").alias("_n"))
     n = sizes.agg(F.sum("_n")).first()[0] or 0
     hot = sizes.where(F.col("_n") > max(n // HOT_SHARE, 10_000)).select(*on, F.lit(True).alias("_hot"))
     marked = left.join(F.broadcast(hot), on, "left")
     hot_part = marked.where("_hot").drop("_hot").join(F.broadcast(right.join(F.broadcast(hot.drop("_hot")), on, "left_semi")), on, how)
     cool_part = marked.where("_hot is null").drop("_hot").join(right, on, how)
-    return hot_part.unionByName(cool_part)
+    out = hot_part.unionByName(cool_part)
+    return out.unionByName(nulls) if how == "left" else out

@@ -29,22 +29,30 @@ HOT_VISITS = 200_000
 PIVOTS = 16_384
 
 
+def _rounding(dims: int) -> float:
+    """Relative error, with a wide margin, of a centred expanded square against |a|^2 + |b|^2."""
+    return 8.0 * (dims + 4) * np.finfo(float).eps
+
+
 def _best(qv: np.ndarray, pv: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and distances (queries x min(k, points)) of the nearest points, ties by id.
 
-    Candidates come from the expanded square; their distances are then recomputed from
-    differences, with a margin that covers the rounding of the expansion.
+    Candidates come from the expanded square around the points' mean; their distances are then
+    recomputed from differences, with a margin that covers the rounding of the expansion.
     """
     kk = min(k, len(pv))
-    p2 = np.einsum("ij,ij->i", pv, pv)
-    top = p2.max()
+    centre = pv.mean(axis=0)
+    pc = pv - centre
+    p2 = np.einsum("ij,ij->i", pc, pc)
+    top, margin = p2.max(), 4.0 * _rounding(pv.shape[1])
     out_ids, out_dist = [], []
     for s in range(0, len(qv), QUERY_ROWS):
         q = qv[s : s + QUERY_ROWS]
-        q2 = np.einsum("ij,ij->i", q, q)
-        rough = q2[:, None] + p2[None, :] - 2.0 * (q @ pv.T)
+        qc = q - centre
+        q2 = np.einsum("ij,ij->i", qc, qc)
+        rough = q2[:, None] + p2[None, :] - 2.0 * (qc @ pc.T)
         edge = rough.min(axis=1) if kk == 1 else np.partition(rough, kk - 1, axis=1)[:, kk - 1]
-        row, col = np.nonzero(rough <= (edge + 1e-11 * (q2 + top + 1.0))[:, None])
+        row, col = np.nonzero(rough <= (edge + margin * (q2 + top))[:, None])
         diff = pv[col] - q[row]
         # cumsum adds from left to right, so equal sums tie exactly
         dist = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
@@ -186,21 +194,46 @@ def _pivot_rows(pts: DataFrame, m: int, group: list[str]) -> dict:
     return {g: np.array(list(v), dtype=float) for g, v in out.items()}
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+def _squares(a: np.ndarray, b: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances through the expansion around ``centre``, and a bound of their error."""
+    a, b = a - centre, b - centre
+    norms = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :]
+    return norms - 2.0 * (a @ b.T), _rounding(a.shape[1]) * norms
 
 
 def _nearest_pivot(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position of and distance to the nearest pivot, a slice of rows at a time."""
-    at, off = [], []
+    """Position of the nearest pivot (up to rounding) and the distance to it, a slice of rows at a time."""
+    at, off, centre = [], [], pivots.mean(axis=0)
     for s in range(0, len(v), QUERY_ROWS):
-        d = _distances(v[s : s + QUERY_ROWS], pivots)
-        at.append(d.argmin(axis=1))
-        off.append(d.min(axis=1))
+        part = v[s : s + QUERY_ROWS]
+        nearest = _squares(part, pivots, centre)[0].argmin(axis=1)
+        diff = part - pivots[nearest]
+        at.append(nearest)
+        off.append(np.sqrt(np.einsum("ij,ij->i", diff, diff)))
     return np.concatenate(at), np.concatenate(off)
 
 
+def _lower_bounds(
+    sq: np.ndarray, err: np.ndarray, pivots: np.ndarray, lo: np.ndarray, hi: np.ndarray, upper: np.ndarray
+) -> np.ndarray:
+    """Proven lower bounds (queries x cells) of the distance to any point of a cell.
+
+    Two rules: the triangle inequality with the cell's span of offsets, and the distance to the
+    plane between the cell's pivot and the query's nearest one. The error of every square,
+    also of those that assigned points to cells, is taken off.
+    """
+    low = np.maximum(np.sqrt(np.maximum(sq - err, 0.0)) - hi * (1.0 + 1e-12), lo * (1.0 - 1e-12) - upper)
+    row, at, centre = np.arange(len(sq)), sq.argmin(axis=1), pivots.mean(axis=0)
+    gap2, gap_err = _squares(pivots[at], pivots, centre)
+    c2 = np.einsum("ij,ij->i", pivots - centre, pivots - centre)
+    reach2 = (np.sqrt(c2) + hi) ** 2
+    assigned = 2.0 * _rounding(pivots.shape[1]) * (reach2[None, :] + np.maximum(c2[None, :], c2[at][:, None]))
+    gap = np.sqrt(np.maximum(gap2 + gap_err, 0.0))
+    clear = sq - sq[row, at][:, None] - err - err[row, at][:, None] - assigned
+    plane = np.divide(clear, 2.0 * gap, out=np.zeros_like(clear), where=(clear > 0) & (gap > 0))
+    return np.maximum(low, plane)
+
+
 def _search_cells(
     reps: DataFrame, pts: DataFrame, k: int, group: list[str], text: bool, n_points: int, block_rows: int, pivots: int, hot_visits: int
 ) -> DataFrame:
@@ -209,8 +242,6 @@ def _search_cells(
     centres = spark.sparkContext.broadcast(_pivot_rows(pts, m, group))
     g_cols = [f"{group[0]} {dict(pts.dtypes)[group[0]]}"] if group else []
     id_type = dict(pts.dtypes)["pid"]
-    # absolute slack for bounds that are computed in floating point
-    slack = 1e-6
 
     def split(pdf: pd.DataFrame):
         if group:
@@ -279,20 +310,14 @@ def _search_cells(
                 c, i = centres.value[g], cells.value[g]
                 for s in range(0, len(rows), QUERY_ROWS):
                     part = pdf.iloc[rows[s : s + QUERY_ROWS]]
-                    d = _distances(_matrix(part["vec"]), c)
+                    sq, err = _squares(_matrix(part["vec"]), c, c.mean(axis=0))
+                    upper = np.sqrt(np.maximum(sq + err, 0.0))
                     reach = np.array([x[-1] if len(x) >= k else np.inf for x in part["dists"]])
                     if len(i["flat"]) >= k:
-                        far = np.partition(d[:, i["flat_cell"]] + i["flat"][None, :], k - 1, axis=1)[:, k - 1]
-                        reach = np.minimum(reach, far + slack)
-                    reach = reach * (1.0 + 1e-9) + slack
-                    at = d.argmin(axis=1)
-                    near_d = d[np.arange(len(d)), at]
-                    low = np.maximum(d - i["hi"][None, :], i["lo"][None, :] - d)
-                    gap = _distances(c[at], c)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        plane = (d * d - (near_d * near_d)[:, None]) / (2.0 * gap)
-                    low = np.where(gap > 0, np.maximum(low, plane - slack), low)
-                    q, cell = np.nonzero((low <= reach[:, None]) & (i["n"] > 0)[None, :])
+                        far = np.partition(upper[:, i["flat_cell"]] + i["flat"][None, :], k - 1, axis=1)[:, k - 1]
+                        reach = np.minimum(reach, far)
+                    low = _lower_bounds(sq, err, c, i["lo"], i["hi"], upper)
+                    q, cell = np.nonzero((low <= (reach * (1.0 + 1e-9))[:, None]) & (i["n"] > 0)[None, :])
                     reps_n = i["blocks"][cell]
                     q, cell = np.repeat(q, reps_n), np.repeat(cell, reps_n)
                     block = np.concatenate([np.arange(b) for b in reps_n]) if len(reps_n) else np.zeros(0, dtype=int)

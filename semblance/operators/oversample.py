@@ -53,11 +53,11 @@ def _pairs(df: DataFrame, key: Column, cols: Sequence[str], extra: Sequence[str]
     base = cut_lineage(numbered.select(
         F.col(group).alias("_g"), "idx", "_id", "_body", F.array(*[F.col(c).cast("double") for c in near_cols]).alias("_vec")))
     vecs = base.select("_g", F.col("_id").alias("qid"), F.col("_vec").alias("vec"))
-    near = knn_join(vecs, vecs.withColumnRenamed("qid", "pid"), k, by="_g", exclude_self=True)
+    near = cut_lineage(knn_join(vecs, vecs.withColumnRenamed("qid", "pid"), k, by="_g", exclude_self=True))
     left = base.select("_g", "idx", F.col("_id").alias("qid"), F.col("_body").alias("a"))
     right = base.select("_g", F.col("_id").alias("pid"), F.col("_body").alias("b"))
-    # ids are unique, so these joins spread evenly
-    out = near.join(left, ["_g", "qid"]).join(right, ["_g", "pid"])
+    # a qid has k rows; a pid can be the neighbour of very many rows (all copies share theirs), so its hot keys are split off
+    out = lookup(near, right, ["_g", "pid"], how="inner").join(left, ["_g", "qid"])
     return cut_lineage(out.select("_g", "idx", "rank", "a", "b", "distance"))
 
 
@@ -69,8 +69,9 @@ def smote(
 
     Returns the new rows only (``i``, label, columns, and ``u``); augment the real table with them.
     Categories take the most frequent value among the base row's neighbours, or are interpolated
-    as codes with ``codes_as_numbers``.
+    as codes with ``codes_as_numbers``. Rows with a null label belong to no class.
     """
+    df = df.where(F.col(label).isNotNull())
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
     needs = class_targets(sizes, strategy)
     numeric = [*cols, *(cats if codes_as_numbers else [])]

@@ -213,7 +213,7 @@ def number_groups(df: DataFrame, seed: str | int, key: Column, by: str, name: st
         for b in range(16**digits):
             offsets.append(run)
             run += c.get(b, 0)
-        start = F.when(F.col(by) == F.lit(g), F.element_at(const_array(offsets, "bigint"), F.col("_b") + 1)).otherwise(start)
+        start = F.when(F.col(by).eqNullSafe(F.lit(g)), F.element_at(const_array(offsets, "bigint"), F.col("_b") + 1)).otherwise(start)
     inside = Window.partitionBy(by, "_b").orderBy("_h", "_k")
     out = keyed.withColumn(name, start + F.row_number().over(inside) - 1).drop("_k", "_h", "_b")
     return out, {g: sum(c.values()) for g, c in counts.items()}
@@ -223,10 +223,11 @@ def hash_cut(df: DataFrame, seed: str | int, key: Column, share: float, by: str
     """Mark exactly ceil(share * n) rows (per class when ``by`` is given): those first in (hash, key) order.
 
     Only bucket counts and one cut point per class reach the driver; rows are then marked
-    by a comparison, without a shuffle.
+    by a comparison, without a shuffle. Null is a class of its own.
     """
     digits = _hash_digits(df.sparkSession)
-    group = F.col(by).cast("string") if by else F.lit("")
+    name = F.col(by).cast("string") if by else F.lit("")
+    group = F.when(name.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), name))
     keyed = (
         df.withColumn("_g", group).withColumn("_k", key.cast("string"))
         .withColumn("_h", digest(seed, F.col("_k"))).withColumn("_b", _hash_bucket(F.col("_h"), digits))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semblance.functions.rand import draw_index, normal, uniform
+from semblance.operators.frames import cut_lineage, lookup
 from semblance.operators.neighbors import knn_join
 from semblance.operators.prepare import fit_standard, scale
 from semblance.operators.ranks import number_rows
@@ -76,19 +77,20 @@ def assign_labels_knn(
         params = fit_standard(train, cols)
         gen, real = scale(generated, params), scale(train, params)
     vec = F.array(*[F.col(c).cast("double") for c in cols])
-    near = knn_join(
+    near = cut_lineage(knn_join(
         gen.select(F.col(gen_id).alias("qid"), vec.alias("vec")),
         real.select(F.col(train_id).alias("pid"), vec.alias("vec")), k,
-    )
+    ))
     labels = train.select(F.col(train_id).alias("pid"), F.col(label).alias(label))
-    votes = near.join(labels, "pid").groupBy("qid", label).agg(F.count("*").alias("n"))
+    # copies share their neighbours, so a pid can be hot
+    votes = lookup(near, labels, ["pid"], how="inner").groupBy("qid", label).agg(F.count("*").alias("n"))
     best = votes.groupBy("qid").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(label).alias("label"))).alias("b"))
     return best.select(F.col("qid").alias(gen_id), F.col("b.label").alias(label))
 
 
 def assign_labels_proportional(generated: DataFrame, key: Column, train: DataFrame, label: str, seed: int = 42) -> DataFrame:
-    """Random labels with the class shares of train (classes in ascending order fill [0, 1))."""
-    counts = sorted((r[label], r["n"]) for r in train.groupBy(label).agg(F.count("*").alias("n")).collect())
+    """Random labels with the class shares of train (classes in ascending order, null first, fill [0, 1))."""
+    counts = sorted(((r[label], r["n"]) for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0]))
     total = sum(n for _, n in counts)
     u, run, out = uniform(f"{seed}/label", key), 0, None
     for value, n in counts[:-1]:
@@ -107,7 +109,7 @@ def assign_labels_auto(
     Returns the labelled rows and which way was used; ``score_alone`` is false for the fallback,
     whose labels carry no information.
     """
-    near = assign_labels_knn(generated, gen_id, train, train_id, cols, label, k, scaled)
+    near = cut_lineage(assign_labels_knn(generated, gen_id, train, train_id, cols, label, k, scaled))
     if near.select(label).distinct().limit(2).count() >= 2:
         return generated.join(near, gen_id).withColumn("score_alone", F.lit(True)), "knn"
     out = assign_labels_proportional(generated, F.col(gen_id), train, label, seed)

@@ -31,7 +31,7 @@ SCH = f"""ang AS (SELECT t, pow(cos((t / {T}.0::double + 0.008) / 1.008 * pi() /
   beta * sqrt(abar_prev) / (1 - abar) AS coef1, (1 - abar_prev) * sqrt(alpha) / (1 - abar) AS coef2 FROM ap)"""
 _MM = "((l_extendedprice - (SELECT min(l_extendedprice) FROM lineitem)) / ((SELECT max(l_extendedprice) FROM lineitem) - (SELECT min(l_extendedprice) FROM lineitem)) * 2 - 1)"
 _X = f"x AS (SELECT k, {_MM} AS x, {CODE} AS c, l_linestatus AS y FROM ({CODED}))"
-_TSQL = f"cast(floor({S.uniform('42/t', 'k')} * {T}) AS integer)"
+_TSQL = f"cast({S.index('42/t', 'k', T)} AS integer)"
 
 
 def _gumbel(logp: list[str], seed: str, k: str) -> str:
@@ -156,7 +156,7 @@ def f06(spark, d):
 
 _PAIR = "concat_ws('#', k, cast(repeat AS varchar))"
 _PAIRS = f"""{SCH}, {_X}, pr0 AS (SELECT x.*, repeat, {_PAIR} AS pair FROM x, range(1, 3) AS r(repeat)),
- pr1 AS (SELECT *, cast(floor({S.uniform('42/t', 'pair')} * {T}) AS integer) AS t, {S.normal('42/eps/x', 'pair')} AS eps FROM pr0),
+ pr1 AS (SELECT *, cast({S.index('42/t', 'pair', T)} AS integer) AS t, {S.normal('42/eps/x', 'pair')} AS eps FROM pr0),
  nz AS (SELECT *, sqrt(abar) * x + sqrt(1 - abar) * eps AS xt, {_gumbel(_LOGQ, f'42/cat/{CODE}', 'pair')} AS ct FROM pr1 JOIN sch USING (t))"""
 
 
@@ -287,8 +287,8 @@ _DK = "cast(doc_id AS varchar)"
 _SMOTE = f"""d AS ({DOCS}), n AS (SELECT quality, count(*) AS n FROM d GROUP BY 1),
  mi AS (SELECT d.*, row_number() OVER (ORDER BY {S.digest(42, _DK)}, {_DK}) - 1 AS idx FROM d WHERE quality = 0),
  nb AS (SELECT a.idx, b.doc_id AS pid, row_number() OVER (PARTITION BY a.doc_id ORDER BY {_DIST}, cast(b.doc_id AS varchar)) AS rk FROM mi a, mi b WHERE a.doc_id <> b.doc_id),
- dr AS (SELECT i, cast(floor({S.uniform('42/base', 'i')} * (SELECT n FROM n WHERE quality = 0)) AS bigint) AS idx,
-   cast(floor({S.uniform('42/pick', 'i')} * 5) AS bigint) + 1 AS rk, {S.uniform('42/gap', 'i')} AS u FROM range((SELECT max(n) - min(n) FROM n)) AS r(i))"""
+ dr AS (SELECT i, {S.index('42/base', 'i', '(SELECT n FROM n WHERE quality = 0)')} AS idx,
+   {S.index('42/pick', 'i', 5)} + 1 AS rk, {S.uniform('42/gap', 'i')} AS u FROM range((SELECT max(n) - min(n) FROM n)) AS r(i))"""
 
 
 @query("e10_smote", f"WITH {_SMOTE} SELECT i, 0 AS quality, {R('u')} AS u, " + ", ".join(f"{R(f'a.{c} + u * (b.{c} - a.{c})', 4)} AS {c}" for c in DOC_COLS)

@@ -187,6 +187,11 @@ def d13(spark, d):
     return P.split_stratified(table(spark, d, "labels"), F.col("doc_id"), "quality").select("doc_id", "quality", "is_test")
 
 
+@query("d13_split_null_class", f"SELECT k, l_returnflag, is_test FROM ({S.split(f'({GAPPY})', 'k', by='l_returnflag')})")
+def d13_null(spark, d):
+    return P.split_stratified(gappy_lines(spark, d), F.col("k"), "l_returnflag").select("k", "l_returnflag", "is_test")
+
+
 def line_layout(spark, d):
     df = lines(spark, d).select("k", *DIMS, *CATS)
     dic = L.fit_dictionary(df, CATS)

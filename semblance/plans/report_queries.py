@@ -175,24 +175,49 @@ def h08(spark, d):
 _EMB = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
-@query("g01_knn_join", f"""WITH e AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings),
+_KNN_SQL = f"""WITH e AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings),
  p AS (SELECT a.vec_id AS qid, b.vec_id AS pid, sqrt({_EMB}) AS dist FROM e a, e b WHERE a.vec_id <> b.vec_id)
- SELECT qid, cast(row_number() OVER w AS integer) AS rank, pid, {R('dist')} AS distance FROM p WINDOW w AS (PARTITION BY qid ORDER BY dist, pid) QUALIFY row_number() OVER w <= 5""")
-def g01(spark, d):
+ SELECT qid, cast(row_number() OVER w AS integer) AS rank, pid, {R('dist')} AS distance FROM p WINDOW w AS (PARTITION BY qid ORDER BY dist, pid) QUALIFY row_number() OVER w <= 5"""
+
+
+def _knn(spark, d, **options):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    return rounded(knn_join(e.withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "pid"), 5, exclude_self=True))
+    return rounded(knn_join(e.withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "pid"), 5, exclude_self=True, **options))
+
+
+@query("g01_knn_join", _KNN_SQL)
+def g01(spark, d):
+    return _knn(spark, d)
+
+
+@query("g01_knn_join_cells", _KNN_SQL)
+def g01_cells(spark, d):
+    """The same search through cells, as large tables take it."""
+    return _knn(spark, d, broadcast_bytes=0)
 
 
-@query("g01_knn_mean_distance", f"""WITH e AS (SELECT vec_id, label, cast(embedding AS double[]) AS v FROM embeddings),
+_MEAN_SQL = f"""WITH e AS (SELECT vec_id, label, cast(embedding AS double[]) AS v FROM embeddings),
  p AS (SELECT a.vec_id AS qid, b.vec_id AS pid, sqrt({_EMB}) AS dist FROM e a, e b WHERE a.label = b.label AND a.vec_id <> b.vec_id),
  k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, pid) <= 3)
- SELECT qid, {R('avg(dist)')} AS distance FROM k GROUP BY qid""")
-def g01m(spark, d):
+ SELECT qid, {R('avg(dist)')} AS distance FROM k GROUP BY qid"""
+
+
+def _mean_distance(spark, d, **options):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
-    near = knn_join(e.withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "pid"), 3, by="label", exclude_self=True)
+    near = knn_join(e.withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "pid"), 3, by="label", exclude_self=True, **options)
     return rounded(near.groupBy("qid").agg(F.avg("distance").alias("distance")))
 
 
+@query("g01_knn_mean_distance", _MEAN_SQL)
+def g01m(spark, d):
+    return _mean_distance(spark, d)
+
+
+@query("g01_knn_mean_distance_cells", _MEAN_SQL)
+def g01m_cells(spark, d):
+    return _mean_distance(spark, d, broadcast_bytes=0)
+
+
 # ---- privacy ---------------------------------------------------------------------------
 
 PART_NUM, PART_TARGET, PART_CAT = ("p_size",), "p_retailprice", "p_type"

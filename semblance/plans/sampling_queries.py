@@ -61,7 +61,7 @@ def e04(spark, d):
 
 
 @query("e05_sample_marginal_categories", f"""WITH n AS ({NUMBERED}),
- g AS (SELECT o_orderkey, cast(floor({S.uniform('42/marginal', 'o_orderkey')} * (SELECT count(*) FROM n)) AS bigint) AS idx FROM orders)
+ g AS (SELECT o_orderkey, {S.index('42/marginal', 'o_orderkey', '(SELECT count(*) FROM n)')} AS idx FROM orders)
  SELECT o_orderkey, l_returnflag, l_linestatus FROM g JOIN n USING (idx)""")
 def e05(spark, d):
     gen = table(spark, d, "orders").select("o_orderkey")

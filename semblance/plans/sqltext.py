@@ -5,6 +5,7 @@ from __future__ import annotations
 from semblance.functions import special
 
 WORD = "4294967296.0::double"
+WIDE = "4503599627370496.0::double"
 
 
 def key(*cols: str) -> str:
@@ -36,8 +37,13 @@ def numbered(source: str, seed: str | int, k: str) -> str:
     return f"SELECT *, row_number() OVER (ORDER BY {digest(seed, k)}, {k}) - 1 AS idx FROM {source}"
 
 
+def index(seed: str | int, k: str, n: str | int) -> str:
+    """Uniform integer in [0, n) from the first 52 bits of the digest."""
+    return f"cast(floor(('0x' || substr({digest(seed, k)}, 1, 13))::bigint / {WIDE} * {n}) AS bigint)"
+
+
 def draw(seed: str | int, k: str, n: str) -> str:
-    return f"cast(floor({uniform(f'{seed}/draw', k)} * {n}) AS bigint)"
+    return index(f"{seed}/draw", k, n)
 
 
 def split(source: str, k: str, share: float = 0.2, seed: int = 42, by: str | None = None) -> str:

@@ -132,11 +132,10 @@ _TIDY = f"""{SCORES}, td AS (SELECT model, scenario, 'rmse' AS metric, rmse AS v
 @query("g10_delta_table", f"""WITH {_TIDY} SELECT model, scenario, metric, {R('value', 4)} AS value, {R('baseline', 4)} AS baseline, {R('value - baseline', 4)} AS delta,
  {R('(value - baseline) * 100 / abs(baseline)', 3)} AS percent, {R('greatest(value * 100 / baseline, 0)', 3)} AS percent_of_baseline,
  CASE WHEN metric = 'rmse' THEN value < baseline ELSE value > baseline END AS better FROM td JOIN b USING (model, metric)
- WHERE scenario <> 'Original' AND model = 'l_quantity'""")
+ WHERE scenario <> 'Original'""")
 def g10(spark, d):
     t = U.tidy(scores(spark, d), ["rmse", "r2"])
-    out = U.delta_table(t).where(F.col("model") == "l_quantity")
-    return rounded(out, 4, percent=3, percent_of_baseline=3)
+    return rounded(U.delta_table(t), 4, percent=3, percent_of_baseline=3)
 
 
 _METHODS = """ms AS (SELECT 'Original' AS method, 'augment' AS use, model, r2 FROM scores WHERE scenario = 'Original'

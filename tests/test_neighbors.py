@@ -30,3 +30,17 @@ def test_equals_brute_force(data, by, alone, options):
         want |= {(i, r + 1, int(a), round(float(b), 9)) for r, (a, b) in enumerate(zip(ids[ok][o], d[ok][o]))}
     got = {(r.qid, r["rank"], r.pid, round(r.distance, 9)) for r in knn_join(queries, points, 4, by=by, exclude_self=alone, **options).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("options", [{}, CELLS])
+@pytest.mark.parametrize("shift,factor", [(0.0, 1e-6), (1e6, 1.0), (1e8, 1.0), (1.7e9, 1.0), (1.7e9, 1e6)])
+def test_far_and_scaled_coordinates_equal_brute_force(spark, options, shift, factor):
+    rng = np.random.default_rng(3)
+    p, q = rng.normal(size=(1500, 3)) * factor + shift, rng.normal(size=(200, 3)) * factor + shift
+    frame = lambda name, v: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], f"{name} long, vec array<double>")
+    want = set()
+    for i in range(len(q)):
+        d = np.sqrt(np.cumsum((p - q[i]) ** 2, axis=1)[:, -1])
+        want |= {(i, r + 1, int(a)) for r, a in enumerate(np.lexsort((np.arange(len(p)), d))[:3])}
+    got = {(r.qid, r["rank"], r.pid) for r in knn_join(frame("qid", q), frame("pid", p), 3, **options).collect()}
+    assert got == want

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from semblance.functions.rand import draw_index
 from semblance.operators.frames import lookup
 from semblance.operators.ranks import exact_quantiles, hash_cut, number_groups, number_rows, running_counts
 
@@ -55,3 +56,36 @@ def test_lookup_beyond_the_broadcast_limit(spark):
     row = got.agg(F.count("*").alias("n"), F.count("v").alias("hit"), F.sum((F.col("v") == F.col("k") * 2).cast("int")).alias("ok")).first()
     want = left.where("k < 20000").count()
     assert (row.n, row.hit, row.ok) == (30_000, want, want)
+
+
+def test_null_class_is_split_and_numbered(spark):
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 4 > 0 THEN cast(id % 2 AS string) END AS c")
+    flagged = hash_cut(df, 42, F.col("id"), 0.2, by="c")
+    got = {r["c"]: (r["n"], r["t"]) for r in flagged.groupBy("c").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    assert got == {None: (250, 50), "0": (250, 50), "1": (500, 100)}
+    numbered, sizes = number_groups(df, 1, F.col("id"), "c")
+    assert sizes == {None: 250, "0": 250, "1": 500}
+    assert sorted(r.idx for r in numbered.where("c IS NULL").collect()) == list(range(250))
+
+
+def test_lookup_keeps_null_keys_out_of_the_shuffle(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = spark.range(30000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id END AS k")
+        right = spark.range(30000).selectExpr("id AS k", "id * 2 AS v")
+        out = lookup(left, right, ["k"], limit=10)
+        assert out.count() == 30000
+        assert out.where("v = 2 * id").count() == 20000 and out.where("k IS NULL AND v IS NULL").count() == 10000
+        assert lookup(left, right, ["k"], limit=10, how="inner").count() == 20000
+        # rows that a join shuffles: none has a null key, so they spread evenly
+        keyed = out.where("k IS NOT NULL").groupBy(F.spark_partition_id()).count().where("count > 0").collect()
+        assert max(r["count"] for r in keyed) < 3 * 20000 / len(keyed)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_draws_of_a_huge_range_reach_odd_and_even_rows(spark):
+    n = 10**12
+    got = [r[0] for r in spark.range(4000).select(draw_index("s", F.col("id"), n)).collect()]
+    odd = sum(g % 2 for g in got)
+    assert 0 <= min(got) and max(got) < n and len(set(got)) == 4000 and 1800 < odd < 2200
