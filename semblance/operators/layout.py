@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semblance.functions.arrays import argmax, one_hot
-from semblance.operators.frames import lookup, pin
+from semblance.operators.frames import cut_lineage, lookup, pin
 
 
 @dataclass(frozen=True)
@@ -48,13 +48,20 @@ class Layout:
 def fit_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, idx): idx is the 0-based rank of the value in text order.
 
-    Values are de-duplicated before the window, whose groups are the distinct values of
-    one category column.
+    Distinct values are dealt out by range; ranks come from a window inside a range plus the sizes of
+    the ranges before it, so a column of very many values fills no task.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     distinct = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return pin(distinct.withColumn("idx", (F.row_number().over(w) - 1).cast("int")))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(distinct.repartitionByRange(ranges, "column", "value").withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("column", "_range").agg(F.count("*").alias("_n"))
+    # at most columns + ranges rows
+    starts = sizes.select("column", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("column", "_range").orderBy("value")
+    rank = F.col("_start") + F.row_number().over(inside) - 1
+    return pin(dealt.join(F.broadcast(starts), ["column", "_range"]).select("column", "value", rank.cast("int").alias("idx")))
 
 
 def cardinalities(dictionary: DataFrame) -> dict[str, int]:

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from semblance.functions.rand import draw_index
 from semblance.operators.frames import lookup
-from semblance.operators.ranks import exact_quantiles, hash_cut, number_groups, number_rows, running_counts
+from semblance.operators.layout import fit_dictionary
+from semblance.operators.ranks import exact_quantiles, hash_cut, number_groups, number_rows, running_counts, with_bucket
 
 
 def skewed(spark, n=3000):
@@ -89,3 +90,22 @@ def test_draws_of_a_huge_range_reach_odd_and_even_rows(spark):
     got = [r[0] for r in spark.range(4000).select(draw_index("s", F.col("id"), n)).collect()]
     odd = sum(g % 2 for g in got)
     assert 0 <= min(got) and max(got) < n and len(set(got)) == 4000 and 1800 < odd < 2200
+
+
+def test_bucket_of_many_series_and_odd_values(spark):
+    edges = {f"s{i}": sorted({float(j * (i + 1)) for j in range(i % 9)}) for i in range(100)}
+    cells = [(f"s{i}", v) for i in range(100) for v in (-1.0, 0.0, 3.5, 7.0, 1e9, float("nan"), None)] + [("other", 1.0)]
+    got = with_bucket(spark.createDataFrame(cells, "s string, value double"), edges, "s").collect()
+    assert len(got) == len(cells)
+    for r in got:
+        own = edges.get(r.s, [])
+        want = 0 if r.value is None else len(own) if r.value != r.value else sum(e <= r.value for e in own)
+        assert r._bucket == want
+
+
+def test_dictionary_ranks_over_ranges(spark):
+    words = spark.range(5000).selectExpr("md5(cast(id % 3000 as string)) as a", "cast(id % 7 as string) as b")
+    got = {(r.column, r.value): r.idx for r in fit_dictionary(words, ["a", "b"]).collect()}
+    for c in "ab":
+        assert [got[c, v] for v in sorted(r[0] for r in words.select(c).distinct().collect())] == list(range(words.select(c).distinct().count()))
+    assert fit_dictionary(words.limit(0), ["a"]).count() == 0
