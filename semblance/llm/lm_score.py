@@ -125,10 +125,10 @@ def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _add(sums: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    keys = at[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sums[keys[starts]] += np.add.reduceat(values[order], starts, axis=0)
+    """sums[at] += values, repeated places included."""
+    width = sums.shape[1]
+    cells = (at[:, None] * width + np.arange(width)).ravel()
+    sums += np.bincount(cells, weights=values.ravel(), minlength=sums.size).reshape(sums.shape)
 
 
 class Trainer:
@@ -217,8 +217,8 @@ def normalisers(spark, model: LogBilinear) -> np.ndarray:
                 z = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
                 yield pd.DataFrame({"a": [a], "z": [z.astype(np.float32).tobytes()]})
 
-    rows = spark.range(0, k, 1, 32).mapInPandas(table, "a long, z binary").orderBy("a").collect()
-    return np.frombuffer(b"".join(r["z"] for r in rows), np.float32).reshape(k, k)
+    rows = spark.range(0, k, 1, 32).mapInPandas(table, "a long, z binary").collect()
+    return np.frombuffer(b"".join(r["z"] for r in sorted(rows, key=lambda r: r["a"])), np.float32).reshape(k, k)
 
 
 def score_texts(base: DataFrame, model: LogBilinear, log_z: np.ndarray, vocab: Vocabulary) -> DataFrame:
@@ -228,6 +228,7 @@ def score_texts(base: DataFrame, model: LogBilinear, log_z: np.ndarray, vocab: V
     def make():
         m, z, voc = shared.value
         end = END_WORD.encode()
+        by_near, by_far = m.near @ m.out.T + m.bias, m.far @ m.out.T  # scores of every class after each context class
         parts, named, ends = {w: log10(c + 0.5) for w, c in voc.counts.items()}, voc.classes, voc.counts[end]
         get = parts.get
 
@@ -237,7 +238,7 @@ def score_texts(base: DataFrame, model: LogBilinear, log_z: np.ndarray, vocab: V
             for t in texts:
                 words = tokens(t)
                 target, a, b = contexts(voc.ids(words))
-                s = np.einsum("ij,ij->i", m.near[a] + m.far[b], m.out[target]) + m.bias[target] - z[a, b]
+                s = by_near[a, target] + by_far[b, target] - z[a, b]
                 model_part, base_part, unknown = float(s.sum(dtype=np.float64)) / log(10), parts[end], 0
                 for w, f in Counter(words).items():
                     part = get(w)
