@@ -96,14 +96,12 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def top_values(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
     """The k most frequent values per column with their percent of all rows (nulls included)."""
     n = df.count()
-    out = None
-    for c in cols:
-        part = (
-            value_counts(df, c).orderBy(F.desc("count"), F.asc("value")).limit(k)
-            .select(F.lit(c).alias("column"), "value", "count", (F.col("count") * 100.0 / F.lit(n)).alias("percent"))
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+    counts = df.select(F.inline(cells)).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("count"))
+    # the limit on the rank lets Spark drop all but k rows of a column before the window's shuffle
+    first = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
+    ranked = counts.withColumn("_rank", first).where(F.col("_rank") <= k)
+    return ranked.select("column", "value", "count", (F.col("count") * 100.0 / F.lit(n)).alias("percent"))
 
 
 def missing_report(df: DataFrame, k: int = 15) -> DataFrame:
