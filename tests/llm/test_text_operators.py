@@ -118,6 +118,26 @@ def test_word_statistics_and_bands():
     assert compression_rules.compression(noise, z)[0] > 0.8
 
 
+def test_noise_of_each_length_is_rejected_and_prose_kept():
+    from pydoc_data.topics import topics
+
+    z, rng = zstandard.ZstdCompressor(level=3), np.random.default_rng(3)
+    lower, base64 = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    kinds = {"base64": (base64, 256), "printable": ("".join(map(chr, range(33, 127))), 256), "letters": (base64[:52], 512), "lower": (lower, 3200), "cjk": ("".join(map(chr, range(0x4E00, 0x9FA5))), 8192)}
+    prose = re.sub(r"\s+", " ", " ".join(topics[k] for k in sorted(topics)))
+    for n in (256, 300, 512, 1100, 2000, 3200, 4096, 5000, 9000, 70000, 1000000):
+        for name, (alphabet, least) in kinds.items():
+            text = "".join(rng.choice(list(alphabet), n // 3 if name == "cjk" else n))
+            spaced = re.sub("(.{40})", r"\1 ", text)[:n]
+            assert n < least or (compression_rules.compression(text, z)[-1] and compression_rules.compression(spaced, z)[-1]), (n, name)
+        for at in range(0, len(prose) - n, max(n, 10007)):
+            assert not compression_rules.compression(prose[at : at + n], z)[-1], (n, at)
+    # the last chunk counts by its own length: half prose, half noise in the tail
+    tail = "".join(rng.choice(list(base64), 4000))
+    assert 0.49 < compression_rules.compression(prose[:4096] + tail, z)[3] < 0.5
+    assert compression_rules.compression(None, z) == (None, None, None, 0.0, False)
+
+
 def components(ids, texts, size, percent):
     sets = [frozenset(zip(*[w[i:] for i in range(size)], strict=False)) if len(w) >= size else frozenset([tuple(w)] if w else []) for w in ((t or "").encode().lower().split() for t in texts)]
     parent, seen = list(range(len(sets))), collections.defaultdict(list)
