@@ -182,6 +182,21 @@ def test_decontamination_slots(spark):
     assert got == {1: True, 2: False}  # 3 gives one slot value two meanings
 
 
+def test_decontamination_partial_short_and_case_changed(spark):
+    word = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    long = " ".join(word[:200])
+    names = "Sie sah den Hund, Otto und die Katze, Emma bei Tante, Ida am Haus, Udo mit 12 Booten nach Ulm"
+    broken = " ".join(word[200:240]) + " had 5 cats then 5 dogs and one old grey mouse sat near it"
+    bench = spark.createDataFrame([(1, long), (2, "Who wrote Faust in 1808"), (3, names), (4, broken)], "item_id long, text string")
+    texts = {
+        1: " ".join(word[50:149]), 2: " ".join(word[50:79]), 3: "I ask: who wrote faust, in 1808?", 4: "Who wrote Hamlet in 1808", 5: names.upper(), 6: names.lower().replace("12", "15"),
+        7: broken.replace("5 dogs", "6 dogs"), 8: "who wrote faust", 9: None, 10: "", 11: names.replace("Otto", "Kurt"),
+    }
+    got = {(r.id, r.item): (r.covered_tokens, r.same_slots) for r in leaks(docs(spark, [(i, t, None, None) for i, t in texts.items()]), bench).collect()}
+    assert got.pop((7, 4))[0] >= 40
+    assert got == {(1, 1): (99, True), (3, 2): (5, True), (5, 3): (20, True), (6, 3): (20, False), (11, 3): (20, False)}
+
+
 def test_language_model_sums_to_one():
     keys = {k: np.unique(gram_keys(letters(t)), return_counts=True) for k, t in (("x", "abab abba baab " * 9), ("y", "acac caac acca " * 9))}
     m = build_model(keys)
