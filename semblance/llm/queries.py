@@ -17,6 +17,7 @@ from semblance.llm.lm_score import lm_scores
 from semblance.llm.near_dedup import near_duplicates
 from semblance.llm.secret_scan import BASE_RULES, secret_scan
 from semblance.llm.source_mix import mix_counts
+from semblance.llm.token_files import token_digests, token_folder, write_tokens
 from semblance.llm.url_filter import url_filter
 from semblance.plans.registry import table
 
@@ -92,7 +93,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = token_folder(spark)
+    write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_digests(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_license_scan, op3_source_mix, op4_url_filter, op5_secret_scan, op6_compression_rules, op7_near_dedup, op8_decontaminate, op9_lm_score, op10_language_id,
+    op1_line_dedup, op2_license_scan, op3_source_mix, op4_url_filter, op5_secret_scan, op6_compression_rules, op7_near_dedup, op8_decontaminate, op9_lm_score, op10_language_id, op12_token_files,
 )}
 ORACLE: dict[str, str] = dict(oracle.SQL)
