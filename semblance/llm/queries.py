@@ -17,6 +17,7 @@ from semblance.llm.lm_score import lm_scores
 from semblance.llm.near_dedup import near_duplicates
 from semblance.llm.secret_scan import BASE_RULES, secret_scan
 from semblance.llm.source_mix import mix_counts
+from semblance.llm.spelling_variants import counted_words, variant_groups
 from semblance.llm.token_files import token_digests, token_folder, write_tokens
 from semblance.llm.url_filter import url_filter
 from semblance.plans.registry import table
@@ -101,7 +102,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = variant_groups(counted_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_license_scan, op3_source_mix, op4_url_filter, op5_secret_scan, op6_compression_rules, op7_near_dedup, op8_decontaminate, op9_lm_score, op10_language_id, op12_token_files,
+    op1_line_dedup, op2_license_scan, op3_source_mix, op4_url_filter, op5_secret_scan, op6_compression_rules, op7_near_dedup, op8_decontaminate, op9_lm_score, op10_language_id, op12_token_files, op13_spelling_variants,
 )}
 ORACLE: dict[str, str] = dict(oracle.SQL)
