@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from semblance.llm.license_scan import TEMPLATES, THRESHOLD, template_bigrams
 from semblance.llm.line_dedup import WINDOW
+from semblance.llm.phrase_mining import LEAST, MOST_WORDS, TOP
 from semblance.llm.secret_scan import BASE_RULES, RULES
 from semblance.llm.source_mix import HASH_BITS, MOST, WEIGHTS
 from semblance.llm.url_filter import RULES as URL_RULES
@@ -105,6 +106,26 @@ told AS (
 SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(told.spans, '') AS spans FROM texts LEFT JOIN told USING (doc_id)
 """
 
+PHRASE_MINING = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents),
+listed AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: list_slice(w, i, i + m - 1))) AS g FROM listed, (SELECT unnest(range(1, {MOST_WORDS + 1})) AS m) WHERE len(w) >= m),
+counts AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY lang, m, g),
+totals AS (SELECT lang, sum(f)::bigint AS n FROM counts WHERE m = 1 GROUP BY lang),
+frequent AS (SELECT * FROM counts WHERE f >= {LEAST}),
+candidates AS (SELECT lang, m, g, f AS a, n FROM frequent JOIN totals USING (lang) WHERE m >= 2),
+parts AS (SELECT lang, m, g, a, n, unnest(range(1, m)) AS k FROM candidates),
+cuts AS (
+  SELECT p.lang, p.g, p.a, p.n, p.k, x.f AS l, y.f AS r, ((1000::hugeint * p.a * p.n) // (x.f::hugeint * y.f))::bigint AS score FROM parts p
+  JOIN frequent x ON x.lang = p.lang AND x.g = list_slice(p.g, 1, p.k) JOIN frequent y ON y.lang = p.lang AND y.g = list_slice(p.g, p.k + 1, p.m)
+),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda s: list_transform(range(1, m - s + 2), lambda i: list_slice(g, i, i + s - 1))))) AS g FROM candidates WHERE m > 2),
+held AS (SELECT lang, g, max(a) AS most FROM inner_parts GROUP BY lang, g),
+kept AS (SELECT s.* FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.g = s.g WHERE h.most IS NULL OR 100 * h.most < 100 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM kept QUALIFY rank <= {TOP}
+"""
+
 # crc32 byte by byte; neighbours by equal rests: one word without its letter i is the other, or both without theirs are equal
 SPELLING_VARIANTS = f"""
 WITH RECURSIVE crc AS (
@@ -139,6 +160,7 @@ SELECT f.word, decode(f.form) AS form, c.root, f.n, f.n_near, f.form_n FROM form
 """
 
 SQL = {
+    "op11_phrase_mining": PHRASE_MINING,
     "op13_spelling_variants": SPELLING_VARIANTS,
     "op1_line_dedup": LINE_DEDUP, "op2_license_scan": LICENSE_SCAN, "op3_source_mix": SOURCE_MIX, "op4_url_filter": URL_FILTER, "op5_secret_scan": SECRET_SCAN,
 }

@@ -15,6 +15,7 @@ from semblance.llm.license_scan import license_scan
 from semblance.llm.line_dedup import line_dedup
 from semblance.llm.lm_score import lm_scores
 from semblance.llm.near_dedup import near_duplicates
+from semblance.llm.phrase_mining import phrase_scores, top_phrases
 from semblance.llm.secret_scan import BASE_RULES, secret_scan
 from semblance.llm.source_mix import mix_counts
 from semblance.llm.spelling_variants import counted_words, variant_groups
@@ -94,6 +95,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_phrases(phrase_scores(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -108,6 +113,6 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_license_scan, op3_source_mix, op4_url_filter, op5_secret_scan, op6_compression_rules, op7_near_dedup, op8_decontaminate, op9_lm_score, op10_language_id, op12_token_files, op13_spelling_variants,
+    op1_line_dedup, op2_license_scan, op3_source_mix, op4_url_filter, op5_secret_scan, op6_compression_rules, op7_near_dedup, op8_decontaminate, op9_lm_score, op10_language_id, op11_phrase_mining, op12_token_files, op13_spelling_variants,
 )}
 ORACLE: dict[str, str] = dict(oracle.SQL)
