@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 # Coefficients of Wichura's AS241 (PPND16) normal quantile.
 PROBIT_A = (
@@ -85,3 +87,14 @@ def chi2_tail(x: float | None, dof: int) -> float | None:
         if abs(d * c - 1.0) < 1e-15:
             break
     return min(1.0, f * scale)
+
+
+def normal_tails(df: DataFrame, z: str, name: str) -> DataFrame:
+    """Add the two-sided tail probability of a standard normal; null stays null."""
+
+    def run(batches):
+        for pdf in batches:
+            tails = [None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0)) for x in pdf[z]]
+            yield pdf.assign(**{name: pd.Series(tails, index=pdf.index, dtype=float)})
+
+    return df.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` double")

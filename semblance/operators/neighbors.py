@@ -95,14 +95,22 @@ def _distinct_points(points: DataFrame, keep: int, group: list[str]) -> DataFram
 def knn_join(
     queries: DataFrame, points: DataFrame, k: int, by: str | None = None, exclude_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS, hot_visits: int = HOT_VISITS,
+    probes: int | None = None,
 ) -> DataFrame:
     """(qid, rank, pid, distance) with the k nearest points per query, ties by smallest pid.
 
     ``queries`` has qid and vec (array<double>), ``points`` has pid and vec; with ``by`` both carry
     a group column and neighbours come from the same group only. ``exclude_self`` ignores the
-    point whose pid equals the qid.
+    point whose pid equals the qid. The search is exact unless ``probes`` is given: then each query
+    looks only into so many cells (see ``cells.nearest_approximate``).
     """
     group = [by] if by else []
+    if probes is not None:
+        from semblance.operators.cells import build_index, nearest_approximate
+
+        if by:
+            raise ValueError("build an index for each group to search it approximately")
+        return nearest_approximate(queries, build_index(_distinct_points(points.select("pid", "vec"), k + exclude_self, []), block_rows, pivots), k, probes, exclude_self, hot_visits)
     text = dict(points.dtypes)["pid"] == "string"
     need = k + 1 if exclude_self else k
     pts = _distinct_points(points.select(*group, "pid", "vec"), need, group)
