@@ -10,10 +10,12 @@ Layout of a folder (a path that driver and executors see, as memory-mapping need
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from semblance.llm.common import packed, shared_folder
 
 END_ID = 1
 #: Text bytes that are encoded at once, and words whose ids a task remembers: bounds on memory, not on results.
-CHUNK_BYTES, WORDS_KEPT = 8 << 20, 200_000
+CHUNK_BYTES, WORDS_KEPT = 16 << 20, 400_000
+#: Letters of Latin-1 (all composed, lower case by one letter each), and marks that may follow a word.
+LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 
 
 def local_path(folder: str) -> str:
@@ -44,48 +48,100 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 class Encoder:
-    """Ids of whole texts. Blanks end every token and are dropped, so each distinct word between blanks is encoded once.
+    """Ids of whole texts.
 
-    ``by_word=False`` encodes whole texts, for tokenizers whose tokens reach over blanks.
+    ``by_word`` is for tokenizers that drop white space, so that no token reaches over it: each distinct
+    word is then encoded once and its ids remembered. Where the file says that the tokenizer only
+    normalises to NFC and lower case, parts letters from marks and marks the ends of words, words of Latin-1
+    letters (already NFC) and the marks after them go to the library apart, without its normaliser.
+    ``by_word=False`` encodes whole texts.
     """
 
     def __init__(self, path: str, by_word: bool = True, special: bool = True, keep: int = WORDS_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.by_word, self.keep = Tokenizer.from_file(path), by_word, keep
         self.tokenizer.encode_special_tokens = not special
+        told = json.loads(self.tokenizer.to_str())
+        steps = [[x["type"] for x in (told[k] or {}).get(many, [])] for k, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        suffix = told["model"].get("end_of_word_suffix")
+        self.letters = None
+        if by_word and suffix and steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
         self.known: dict[str, int] = {}
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size
-
-    def _places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words in one text: the tokens that end a word part them again."""
+        joined = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(self.ends[flat])
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not mark the end of every word")
+        return flat, np.diff(ends, prepend=-1)
+
+    def _remembered(self, words: list[str]) -> np.ndarray:
+        """Places of words of letters among those whose ids are known."""
         new = [w for w in words if w not in self.known]
         if new:
             if len(self.known) + len(new) > self.keep:
                 self.known, new = {}, words
                 self.flat, self.start, self.size = self.flat[:0], self.start[:0], self.size[:0]
-            flat, size = self._encode(new)
+            flat, size = (self._encode_letters if self.letters else self._encode)(new)
             self.known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word start and how many they are."""
+        if not self.letters:
+            place = self._remembered(words.to_pylist())
+            return self.flat, self.start[place], self.size[place]
+        plain = pc.match_substring_regex(words, f"^[{LATIN}]+[{MARKS}]*$")
+        own = words.filter(plain)
+        stem = pc.utf8_rtrim(own, MARKS)
+        mark = pc.replace_substring_regex(own, f"^[{LATIN}]+", "")
+        stem, mark = pc.utf8_lower(stem).dictionary_encode(), mark.dictionary_encode()
+        rest, rest_size = self._encode([*mark.dictionary.to_pylist(), *words.filter(pc.invert(plain)).to_pylist()])
+        rest_start = np.cumsum(rest_size) - rest_size
+        place = self._remembered(stem.dictionary.to_pylist())[stem.indices.to_numpy()]
+        at = mark.indices.to_numpy()
+        # letters then marks of each plain word, end to end, and the other words behind them
+        runs = np.empty((len(own), 2), np.int64), np.empty((len(own), 2), np.int64)
+        runs[0][:, 0], runs[1][:, 0] = self.start[place], self.size[place]
+        runs[0][:, 1], runs[1][:, 1] = len(self.flat) + rest_start[at], rest_size[at]
+        flat = np.concatenate([self.flat, rest])
+        made = gathered(flat, runs[0].ravel(), runs[1].ravel())
+        size = np.empty(len(words), np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        n_marks = len(mark.dictionary)
+        size[is_plain], size[~is_plain] = runs[1].sum(axis=1), rest_size[n_marks:]
+        start = np.empty(len(words), np.int64)
+        start[is_plain] = np.cumsum(size[is_plain]) - size[is_plain]
+        start[~is_plain] = len(made) + rest_start[n_marks:]
+        return np.concatenate([made, rest]), start, size
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and how many each has."""
         if not self.by_word:
             return self._encode(texts.to_pylist())
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
-        place = self._places(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
-        size = self.size[place]
-        upto = np.concatenate([[0], np.cumsum(size)])
+        flat, start, size = self._words(words.dictionary)
+        place = words.indices.to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(size[place])])
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return gathered(self.flat, self.start[place], size), np.diff(upto[ends])
+        return gathered(flat, start[place], size[place]), np.diff(upto[ends])
 
 
 def with_end(ids: np.ndarray, size: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
