@@ -58,6 +58,58 @@ def ridge_closed_form(df: DataFrame, cols: Sequence[str], target: str, alpha: fl
     return Ridge(tuple(cols), tuple(float(b) for b in coef), float(row[f"m{d}"] - means @ coef))
 
 
+@dataclass(frozen=True)
+class Moments:
+    """Row count, means and population covariances of some columns: all that linear models need, and they add up."""
+
+    cols: tuple[str, ...]
+    n: int
+    mean: np.ndarray
+    cov: np.ndarray
+
+    def __add__(self, other: Moments) -> Moments:
+        """The moments of both sets of rows together."""
+        if not self.n or not other.n:
+            return self if self.n else other
+        n, gap = self.n + other.n, other.mean - self.mean
+        cov = (self.n * self.cov + other.n * other.cov) / n + np.outer(gap, gap) * (self.n * other.n / n**2)
+        return Moments(self.cols, n, self.mean + gap * (other.n / n), cov)
+
+    def at(self, cols: Sequence[str]) -> list[int]:
+        return [self.cols.index(c) for c in cols]
+
+    def ridge(self, cols: Sequence[str], target: str, alpha: float = RIDGE_ALPHA) -> Ridge:
+        """Ridge with a free intercept."""
+        x, (y,) = self.at(cols), self.at([target])
+        coef = np.linalg.solve(self.cov[np.ix_(x, x)] * self.n + alpha * np.eye(len(x)), self.cov[x, y] * self.n)
+        return Ridge(tuple(cols), tuple(float(b) for b in coef), float(self.mean[y] - self.mean[x] @ coef))
+
+    def r2(self, model: Ridge, target: str) -> float | None:
+        """R2 of a linear model on these rows; null for a constant target."""
+        x, (y,), b = self.at(model.cols), self.at([target]), np.array(model.coef)
+        offset = self.mean[y] - model.intercept - self.mean[x] @ b
+        error = self.cov[y, y] - 2.0 * b @ self.cov[x, y] + b @ self.cov[np.ix_(x, x)] @ b + offset**2
+        return float(1.0 - error / self.cov[y, y]) if self.n and self.cov[y, y] > 0 else None
+
+
+def keyed_moments(df: DataFrame, key: str, cols: Sequence[str]) -> dict[str, Moments]:
+    """Moments of all columns for each value of ``key`` in one grouped aggregate.
+
+    (d + 1)(d + 2) / 2 numbers per key reach the driver: for tens of columns and a bounded list of
+    scenarios or seeds. Means and covariances are merged from partial ones, so a key with most of
+    the rows is no hot spot. Rows with a null in any column count nowhere.
+    """
+    cols = tuple(cols)
+    v = [F.col(c).cast("double") for c in cols]
+    d = len(cols)
+    aggs = [F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(v)], *[F.covar_pop(v[i], v[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]]
+    out = {}
+    for r in df.dropna(subset=list(cols)).groupBy(key).agg(*aggs).collect():
+        cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+        out[r[key]] = Moments(cols, r["n"], np.array([r[f"m{i}"] for i in range(d)]), cov)
+    return out
+
+
 def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +39,28 @@ def attack_distances(train: DataFrame, holdout: DataFrame, syn: DataFrame, k: in
 
     Inputs are (id, vec) frames; scaling uses the synthetic rows.
     """
-    members, others, fake = standardize_vectors([train, holdout, syn], syn)
+    return attack_distances_by_run({run: (train, holdout, syn)}, k)
+
+
+def attack_distances_by_run(runs: dict[str, tuple[DataFrame, DataFrame, DataFrame]], k: int = 1) -> DataFrame:
+    """The same for several runs of (train, holdout, synthetic): one neighbour search, keyed by run."""
+    real = fake = None
+    for run, (train, holdout, syn) in runs.items():
+        members, others, copies = standardize_vectors([train, holdout, syn], syn)
+        queries = None
+        for mark, side in (("m:", members), ("n:", others)):
+            one = side.select(F.lit(run).alias("run"), F.concat(F.lit(mark), F.col("id").cast("string")).alias("qid"), "vec")
+            queries = one if queries is None else queries.unionByName(one)
+        points = copies.select(F.lit(run).alias("run"), F.col("id").alias("pid"), "vec")
+        real = queries if real is None else real.unionByName(queries)
+        fake = points if fake is None else fake.unionByName(points)
     # scaled inputs are written once: the search reads them several times
-    fake = cut_lineage(fake)
-    real = members.select(F.concat(F.lit("m:"), F.col("id").cast("string")).alias("qid"), "vec").unionByName(
-        others.select(F.concat(F.lit("n:"), F.col("id").cast("string")).alias("qid"), "vec")
-    )
-    near = knn_join(cut_lineage(real), fake.select(F.col("id").alias("pid"), "vec"), k)
-    dist = near if k == 1 else near.groupBy("qid").agg(F.avg("distance").alias("distance"))
+    real, fake = cut_lineage(real), cut_lineage(fake)
+    near = knn_join(real, fake, k, by="run") if len(runs) > 1 else knn_join(real.drop("run"), fake.drop("run"), k).select(F.lit(next(iter(runs))).alias("run"), "*")
+    dist = near if k == 1 else near.groupBy("run", "qid").agg(F.avg("distance").alias("distance"))
     # the search is dear and every report reads it several times
     return cut_lineage(dist.select(
-        F.lit(run).alias("run"), F.when(F.startswith("qid", F.lit("m:")), "member").otherwise("nonmember").alias("role"),
+        "run", F.when(F.startswith("qid", F.lit("m:")), "member").otherwise("nonmember").alias("role"),
         F.substring("qid", 3, 1 << 20).alias("id"), "distance",
     ))
 
@@ -102,17 +111,56 @@ def tpr_at_fpr(distances: DataFrame, bounds: Sequence[float] = FPR_BOUNDS, drop_
     return out.select("run", *[c for c in out.columns if c.startswith("tpr_at_")])
 
 
+def fit_logistic_by(df: DataFrame, by: str, x: str, label: str, penalty: float = 1.0, tol: float = 1e-10, rounds: int = 50) -> dict:
+    """{key: (intercept, slope)} of one-feature logistic models, penalty * slope^2 / 2 on the sum of losses.
+
+    Newton steps for all keys at once: each round is one grouped aggregate (loss, gradient and 2 x 2
+    Hessian by key), of which six numbers per key reach the driver. A step that does not lower
+    the loss is halved. A key of one class has no finite optimum; its steps end with ``rounds``.
+    """
+    rows = df.select(by, F.col(x).cast("double").alias("x"), F.col(label).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    at = {r[by]: (0.0, 0.0) for r in rows.select(by).distinct().collect()}
+    best: dict = {}
+    step: dict = {}
+    kind = dict(df.dtypes)[by]
+    for _ in range(rounds):
+        open_keys = [k for k in at if k not in best or step[k] is not None]
+        if not open_keys:
+            break
+        # one row per key
+        here = df.sparkSession.createDataFrame([(k, *at[k]) for k in open_keys], f"{by} {kind}, _a double, _b double")
+        margin = F.col("_a") + F.col("_b") * F.col("x")
+        p = 1.0 / (1.0 + F.exp(-margin))
+        loss = F.greatest(margin, F.lit(0.0)) - F.col("y") * margin + F.log1p(F.exp(-F.abs(margin)))
+        w = p * (1.0 - p)
+        sums = rows.join(F.broadcast(here), by).groupBy(by).agg(
+            F.sum(loss).alias("f"), F.sum(p - F.col("y")).alias("ga"), F.sum((p - F.col("y")) * F.col("x")).alias("gb"),
+            F.sum(w).alias("aa"), F.sum(w * F.col("x")).alias("ab"), F.sum(w * F.col("x") * F.col("x")).alias("bb")).collect()
+        for r in sums:
+            k, (a, b) = r[by], at[r[by]]
+            f = r["f"] + penalty * b * b / 2.0
+            if k in best and not f <= best[k][0] + 1e-12 * abs(best[k][0]):
+                step[k] = tuple(s / 2.0 for s in step[k])
+            else:
+                ga, gb, bb = r["ga"], r["gb"] + penalty * b, r["bb"] + penalty
+                det = r["aa"] * bb - r["ab"] ** 2
+                best[k] = (f, a, b)
+                step[k] = ((r["ab"] * gb - bb * ga) / det, (r["ab"] * ga - r["aa"] * gb) / det) if det > 0 else None
+            if step[k] is not None and max(map(abs, step[k])) <= tol * (1.0 + max(abs(best[k][1]), abs(best[k][2]))):
+                step[k] = None
+            if step[k] is not None:
+                at[k] = (best[k][1] + step[k][0], best[k][2] + step[k][1])
+    return {k: (a, b) for k, (_, a, b) in best.items()}
+
+
 def attack_accuracy(distances: DataFrame) -> DataFrame:
-    """Share classified right at 0.5 by a logistic model (L2 penalty 1) fitted on the same rows."""
-    data = distances.select("run", (F.col("role") == "member").cast("double").alias("label"), array_to_vector(F.array("distance")).alias("features"))
-    out = None
-    for r in [x["run"] for x in distances.select("run").distinct().collect()]:
-        one = data.where(F.col("run") == r)
-        n = one.count()
-        model = LogisticRegression(regParam=1.0 / n, maxIter=1000, tol=1e-10, standardization=False).fit(one)
-        part = model.transform(one).groupBy("run").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(run, accuracy): share classified right at 0.5 by a logistic model (L2 penalty 1) fitted on the same rows."""
+    data = distances.select("run", "distance", (F.col("role") == "member").cast("int").alias("label"))
+    models = fit_logistic_by(data, "run", "distance", "label")
+    table = distances.sparkSession.createDataFrame([(k, *m) for k, m in models.items()], f"run {dict(distances.dtypes)['run']}, _a double, _b double")
+    said = (F.col("_a") + F.col("_b") * F.col("distance") > 0).cast("int")
+    # one row per run
+    return data.join(F.broadcast(table), "run").groupBy("run").agg(F.avg((said == F.col("label")).cast("double")).alias("accuracy"))
 
 
 def auc_band(auc: Column) -> Column:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semblance.operators.frames import cut_lineage
-from semblance.operators.models import Estimator
+from semblance.operators.frames import cut_lineage, report
+from semblance.operators.models import RIDGE_ALPHA, Estimator, Moments, Ridge, keyed_moments
 
 # Score bands, verdict limits and names of the comparison tables.
 BASELINE = "Original"
@@ -101,6 +105,50 @@ def tstr(scenarios: dict[str, DataFrame], test: DataFrame, estimators: dict[str,
     return score(preds, "y", by=["model", "scenario"])
 
 
+@dataclass(frozen=True)
+class LinearSpec:
+    """A ridge model by its features and penalty."""
+
+    cols: tuple[str, ...]
+    alpha: float = RIDGE_ALPHA
+
+
+def scenario_moments(parts: dict[str, DataFrame], scenarios: dict[str, Sequence[str]], cols: Sequence[str]) -> dict[str, Moments]:
+    """Moments of scenarios that are made of parts: one pass over every part, then sums."""
+    tagged = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("part"), *cols)
+        tagged = one if tagged is None else tagged.unionByName(one)
+    found = keyed_moments(tagged, "part", cols)
+    empty = Moments(tuple(cols), 0, np.zeros(len(cols)), np.zeros((len(cols), len(cols))))
+    return {s: reduce(add, [found.get(p, empty) for p in members], empty) for s, members in scenarios.items()}
+
+
+def score_linear(test: DataFrame, fits: dict[tuple[str, str], Ridge], y: str) -> DataFrame:
+    """(model, scenario, n, rmse, mae, r2) of many linear models in one pass over the test rows."""
+    target = F.col(y).cast("double")
+    aggs, rows = [F.count("*").alias("n"), F.var_pop(target).alias("var")], []
+    for i, ((model, scenario), fit) in enumerate(fits.items()):
+        out = F.lit(fit.intercept)
+        for c, b in zip(fit.cols, fit.coef):
+            out = out + F.col(c).cast("double") * F.lit(b)
+        aggs += [F.avg((target - out) * (target - out)).alias(f"s{i}"), F.avg(F.abs(target - out)).alias(f"a{i}")]
+        rows.append({"model": F.lit(model), "scenario": F.lit(scenario), "n": F.col("n"), "rmse": F.sqrt(f"s{i}"), "mae": F.col(f"a{i}"), "r2": F.lit(1.0) - F.col(f"s{i}") / F.nullif(F.col("var"), F.lit(0.0))})
+    return report(test.agg(*aggs), rows)
+
+
+def tstr_linear(parts: dict[str, DataFrame], scenarios: dict[str, Sequence[str]], test: DataFrame, models: dict[str, LinearSpec], y: str) -> DataFrame:
+    """Scores of every (model, scenario) of linear models: one pass over the parts and one over the test rows.
+
+    A scenario is a list of parts (real rows, copies, ...), whose moments are summed; all models of a
+    scenario are solved from them. ``tstr`` does the same for any estimator, with a job for each fit.
+    """
+    cols = list(dict.fromkeys([c for m in models.values() for c in m.cols] + [y]))
+    moments = scenario_moments(parts, scenarios, cols)
+    fits = {(m, s): moments[s].ridge(spec.cols, y, spec.alpha) for s in scenarios for m, spec in models.items()}
+    return score_linear(test, fits, y)
+
+
 def tidy(scores: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("model", "scenario")) -> DataFrame:
     """One row per (model, scenario, metric)."""
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
@@ -178,6 +226,17 @@ def bidirectional(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, e
     return regression_metrics(preds, "y", by=["trained_on", "tested_on"]).select("trained_on", "tested_on", "r2")
 
 
+def bidirectional_linear(parts: dict[str, DataFrame], tests: dict[str, str], spec: LinearSpec, y: str) -> DataFrame:
+    """(trained_on, tested_on, r2) of one linear model, all from the moments of the parts: no pass beyond the first.
+
+    ``tests`` names the part that each training part's counterpart is tested on.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    moments = scenario_moments(parts, {p: [p] for p in parts}, [*spec.cols, y])
+    rows = [(a, b, moments[t].r2(moments[a].ridge(spec.cols, y, spec.alpha), y)) for a in tests for b, t in tests.items()]
+    return spark.createDataFrame(rows, "trained_on string, tested_on string, r2 double")
+
+
 def seeds(n_runs: int = 5) -> list[int]:
     return [run * SEED_STEP for run in range(n_runs)]
 
@@ -191,6 +250,15 @@ def multi_seed(make: Callable[[int], DataFrame], test: DataFrame, estimator: Est
     return regression_metrics(preds, "y", by=["run"]).select("run", "r2")
 
 
+def multi_seed_linear(make: Callable[[int], DataFrame], test: DataFrame, spec: LinearSpec, y: str, n_runs: int = 5) -> DataFrame:
+    """(run, r2) like ``multi_seed``, all runs and the test rows in one keyed pass."""
+    names = [str(run) for run in range(n_runs)]
+    parts = {name: make(seed) for name, seed in zip(names, seeds(n_runs))} | {"test": test}
+    moments = scenario_moments(parts, {p: [p] for p in parts}, [*spec.cols, y])
+    rows = [(run, moments["test"].r2(moments[name].ridge(spec.cols, y, spec.alpha), y)) for run, name in enumerate(names)]
+    return test.sparkSession.createDataFrame(rows, "run int, r2 double")
+
+
 def seed_summary(runs: DataFrame) -> DataFrame:
     """Mean, population std, min and max of R2 over runs."""
     return runs.agg(F.count("*").alias("n_runs"), F.avg("r2").alias("mean"), F.stddev_pop("r2").alias("std"),

@@ -297,6 +297,15 @@ def _distances(spark, d, seed: int = 42, run: str = "0", k: int = 1, scale_by: f
     return V.attack_distances(train, hold, syn, k, run)
 
 
+def part_runs(spark, d, runs):
+    """Attack distances of several noise copies (run, seed, scale) of one training part, searched together."""
+    train, hold, layout = part_parts(spark, d)
+    train = cut_lineage(train)
+    key = F.col("p_partkey")
+    real = V.attack_features(train, layout, key), V.attack_features(hold, layout, key)
+    return V.attack_distances_by_run({n: (*real, V.attack_features(part_copy(train, s, k), layout, F.col("i"))) for n, s, k in runs})
+
+
 @query("p01_attack_features", f"WITH {PART_BASE} SELECT p_partkey AS id, " + ", ".join(f"{x} AS x{j}" for j, x in enumerate(_VEC)) + " FROM ptr")
 def p01(spark, d):
     train, _, layout = part_parts(spark, d)
@@ -322,7 +331,26 @@ def p03(spark, d):
     return rounded(V.attack_auc(_distances(spark, d)))
 
 
-@query("p04_attack_accuracy")
+ROUNDS = 12
+_P = "(1 / (1 + exp(-(a + b * distance))))"
+_NEWTON = f"""nw AS (SELECT DISTINCT run, 0.0::double AS a, 0.0::double AS b, 0 AS step FROM {{src}}
+  UNION ALL SELECT run, a + (ab * gb - bb * ga) / (aa * bb - ab * ab), b + (ab * ga - aa * gb) / (aa * bb - ab * ab), step + 1 FROM (
+   SELECT run, a, b, step, sum({_P} - y) AS ga, sum(({_P} - y) * distance) + b AS gb, sum({_P} * (1 - {_P})) AS aa, sum({_P} * (1 - {_P}) * distance) AS ab, sum({_P} * (1 - {_P}) * distance * distance) + 1 AS bb
+   FROM nw JOIN (SELECT run, distance, (role = 'member')::int AS y FROM {{src}}) USING (run) WHERE step < {ROUNDS} GROUP BY run, a, b, step))"""
+
+
+def accuracy_sql(src: str) -> str:
+    return f"SELECT run, {R('avg((((a + b * distance) > 0)::int = (role = ' + chr(39) + 'member' + chr(39) + ')::int)::int)')} AS accuracy FROM {src} JOIN nw USING (run) WHERE step = {ROUNDS} GROUP BY run"
+
+
+@query("p04_attack_accuracy_runs", f"WITH RECURSIVE {PART_BASE}, " + ", ".join(f"{part_syn_sql(s, tag=f'_{s}')}, {attack_sql(f'_{s}', str(s))}" for s in (0, 42, 84))
+       + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM att_{s}" for s in (0, 42, 84)) + f"), {_NEWTON.format(src='every')} {accuracy_sql('every')}")
+def p04r(spark, d):
+    """Three runs fitted together."""
+    return rounded(V.attack_accuracy(part_runs(spark, d, [(str(s), s, 0.1) for s in (0, 42, 84)])))
+
+
+@query("p04_attack_accuracy", f"{_ATT.replace('WITH', 'WITH RECURSIVE', 1)}, {_NEWTON.format(src='att')} {accuracy_sql('att')}")
 def p04(spark, d):
     return rounded(V.attack_accuracy(_distances(spark, d)))
 
@@ -354,11 +382,7 @@ SEEDS = tuple(r * 42 for r in range(5))
        + f"SELECT count(*) AS n_runs, {R('avg(auc)')} AS auc_mean, {R('stddev_pop(auc)')} AS auc_std, {R('min(auc)')} AS auc_min, {R('max(auc)')} AS auc_max, "
        + f"{_BAND.format(a='avg(auc)')} AS band FROM res")
 def p07(spark, d):
-    runs = None
-    for s in SEEDS:
-        one = _distances(spark, d, s, str(s))
-        runs = one if runs is None else runs.unionByName(one)
-    return rounded(V.privacy_multi_run(runs))
+    return rounded(V.privacy_multi_run(part_runs(spark, d, [(str(s), s, 0.1) for s in SEEDS])))
 
 
 @query("p09_distance_to_closest_record", f"""WITH {PART_BASE}, {part_syn_sql()}, a1 AS ({_scaled('i', 'psyn', 'ptr')}), b1 AS ({_scaled('p_partkey', 'ptr', 'ptr')}),

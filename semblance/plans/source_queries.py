@@ -69,7 +69,7 @@ def a05(spark, d):
     return rounded(P.scale(df, io.load_params(spark, path)))
 
 
-@query("a06_write_results", f"WITH {_TIDY} SELECT model, scenario, metric, {R('value', 4)} AS value FROM td")
+@query("a06_write_results", f"WITH RECURSIVE {_TIDY} SELECT model, scenario, metric, {R('value', 4)} AS value FROM td")
 def a06(spark, d):
     path = _folder(spark)
     io.write_results(tidy(scores(spark, d), ["rmse", "r2"]), path)

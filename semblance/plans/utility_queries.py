@@ -14,7 +14,7 @@ from semblance.operators.privacy import privacy_utility_table
 from semblance.plans import sqltext as S
 from semblance.plans.inputs import CATS, NUMERIC, TARGET, R, lines, rounded
 from semblance.plans.registry import query, table
-from semblance.plans.report_queries import PART_BASE, _distances, attack_sql, auc_sql, part_copy, part_parts, part_syn_sql
+from semblance.plans.report_queries import N_TYPES, PART_BASE, PART_CAT, attack_sql, auc_sql, part_copy, part_parts, part_runs, part_syn_sql
 from semblance.plans.sampling_queries import DOC_COLS, DOCS, _doc_split
 
 DIMS = (*NUMERIC, TARGET)
@@ -24,7 +24,7 @@ _LSPLIT = f"ls AS ({S.split('(' + S.LINE + ')', 'k')}), tr AS (SELECT * FROM ls
 def _syn_sql(seed: int = 42, scale_by: float = 0.1, tag: str = "") -> str:
     """Noise copy of the training part as CTE syn<tag>."""
     cols = ", ".join(f"{c} + {scale_by}::double * (SELECT stddev_pop({c}) FROM tr) * {S.normal(f'{seed}/{c}', 'i')} AS {c}" for c in DIMS)
-    return f"""nn{tag} AS ({S.numbered('tr', seed, 'k')}), syn{tag} AS (SELECT i, {cols} FROM
+    return f"""nn{tag} AS ({S.numbered('tr', seed, 'k')}), syn{tag} AS (SELECT i, {cols}, {', '.join(CATS)} FROM
  (SELECT i, {S.draw(seed, 'i', '(SELECT count(*) FROM tr)')} AS idx FROM range((SELECT count(*) FROM tr)) AS r(i)) JOIN nn{tag} USING (idx))"""
 
 
@@ -37,35 +37,61 @@ def _noise(train, seed: int = 42, scale_by: float = 0.1):
     return A.noise_relative(train, F.col("k"), NUMERIC, TARGET, scale_by=scale_by, seed=seed)
 
 
-def _scenarios(spark, d):
+# One-hot levels of the regression table.
+LEVELS = {"l_returnflag": ("A", "N", "R"), "l_linestatus": ("F", "O")}
+HOT = tuple(f"{c}_{v}" for c, values in LEVELS.items() for v in values)
+FEATURES = (*NUMERIC, *HOT)
+HEAVY = 10_000.0
+MODELS = {"Ridge": U.LinearSpec(FEATURES), "Ridge numeric": U.LinearSpec(NUMERIC), "Ridge heavy": U.LinearSpec(FEATURES, HEAVY)}
+SCENARIOS = {"Original": ("tr",), "+ Noise": ("tr", "syn"), "Noise only": ("syn",), "Strong noise only": ("syn_s",)}
+
+
+def hot(df):
+    """Category levels as 0/1 columns beside the numeric ones."""
+    return df.select("*", *[(F.col(c) == v).cast("double").alias(f"{c}_{v}") for c, values in LEVELS.items() for v in values])
+
+
+def _pieces(spark, d):
     train, test = _parts(spark, d)
     train = cut_lineage(train)
-    syn = cut_lineage(_noise(train).drop("i"))
-    strong = _noise(train, 43, 1.0).drop("i")
-    return {"Original": train, "+ Noise": train.unionByName(syn), "Noise only": syn, "Strong noise only": strong}, test
+    return {"tr": hot(train), "syn": hot(_noise(train)), "syn_s": hot(_noise(train, 43, 1.0))}, hot(test)
+
+
+_HOT_SQL = ", ".join(f"({c} = '{v}')::double AS {c}_{v}" for c, values in LEVELS.items() for v in values)
+
+
+def hot_sql(src: str) -> str:
+    return f"SELECT {', '.join(DIMS)}, {_HOT_SQL} FROM {src}"
+
 
+def system_sql(model: str, scenario: str, src: str, cols, target: str, alpha: float) -> str:
+    """One row: model, scenario, feature means mx, target mean my and the rows of the penalised normal equations."""
+    gram = ", ".join("[" + ", ".join(f"covar_pop({a}, {b}) * count(*)" + (f" + {alpha}" if a == b else "") for b in cols) + f", covar_pop({a}, {target}) * count(*)]" for a in cols)
+    return f"SELECT '{model}' AS model, '{scenario}' AS scenario, [{', '.join(f'avg({c})' for c in cols)}] AS mx, avg({target}) AS my, [{gram}] AS m FROM {src}"
 
-_ONE = {c: M.ridge([c], TARGET) for c in NUMERIC}
-_SRC = {"Original": "tr", "+ Noise": "(SELECT {c} AS x, l_extendedprice AS y FROM tr UNION ALL SELECT {c}, l_extendedprice FROM syn)",
-        "Noise only": "syn", "Strong noise only": "syn_s"}
 
+def solved_sql(systems: str, out: str = "fits") -> str:
+    """CTEs ending in <out>(model, scenario, b, intercept): Gauss-Jordan elimination, one step per column."""
+    return f"""el_{out} AS (SELECT model, scenario, mx, my, m, 1 AS k FROM ({systems})
+  UNION ALL SELECT model, scenario, mx, my, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END), k + 1 FROM el_{out} WHERE k <= len(m)),
+ co_{out} AS (SELECT model, scenario, mx, my, list_transform(m, lambda r: r[len(r)]) AS b FROM el_{out} WHERE k = len(m) + 1),
+ {out} AS (SELECT model, scenario, b, my - list_dot_product(b, mx) AS intercept FROM co_{out})"""
 
-def _fit(model: str, scen: str) -> str:
-    src = _SRC[scen].format(c=model)
-    x, y = ("x", "y") if scen == "+ Noise" else (model, TARGET)
-    return f"""SELECT '{model}' AS model, '{scen}' AS scenario, covar_pop({y}, {x}) * count(*) / (var_pop({x}) * count(*) + 1.0) AS b, avg({y}) AS my, avg({x}) AS mx FROM {src}"""
 
+def _union(scenario: str) -> str:
+    return "(" + " UNION ALL ".join(hot_sql(p) for p in SCENARIOS[scenario]) + ")"
 
-SCORES = f"""{_LSPLIT}, {_syn_sql()}, {_syn_sql(43, 1.0, '_s')}, fits AS ({' UNION ALL '.join(_fit(m, s) for m in NUMERIC for s in _SRC)}),
- lt AS ({' UNION ALL '.join(f"SELECT '{m}' AS model, {m} AS x, {TARGET} AS y FROM te" for m in NUMERIC)}),
- pr AS (SELECT model, scenario, y, my + b * (x - mx) AS p FROM lt JOIN fits USING (model)),
+
+SCORES = f"""{_LSPLIT}, {_syn_sql()}, {_syn_sql(43, 1.0, '_s')}, {solved_sql(' UNION ALL '.join(system_sql(m, s, _union(s), spec.cols, TARGET, spec.alpha) for m, spec in MODELS.items() for s in SCENARIOS))},
+ lt AS (SELECT {TARGET} AS y, [{', '.join(FEATURES)}]::double[] AS x FROM ({hot_sql('te')})),
+ pr AS (SELECT model, scenario, y, intercept + list_dot_product(b, x[1:len(b)]) AS p FROM lt, fits),
  scores AS (SELECT model, scenario, count(*) AS n, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae,
   1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM pr GROUP BY 1, 2)"""
 
 
 def scores(spark, d):
-    scen, test = _scenarios(spark, d)
-    return U.tstr(scen, test, _ONE, TARGET)
+    parts, test = _pieces(spark, d)
+    return U.tstr_linear(parts, SCENARIOS, test, MODELS, TARGET)
 
 
 @query("g03_ridge_closed_form_1", f"""SELECT {R('covar_pop(l_extendedprice, l_quantity) * count(*) / (var_pop(l_quantity) * count(*) + 1.0)', 4)} AS coef,
@@ -83,7 +109,7 @@ def g03b(spark, d):
     return rounded(spark.createDataFrame([m.coef], "coef_quantity double, coef_tax double"), 4)
 
 
-@query("g05_regression_metrics", f"""WITH {SCORES} SELECT model, scenario, n, {R('rmse', 4)} AS rmse, {R('mae', 4)} AS mae, {R('r2')} AS r2 FROM scores""")
+@query("g05_regression_metrics", f"""WITH RECURSIVE {SCORES} SELECT model, scenario, n, {R('rmse', 4)} AS rmse, {R('mae', 4)} AS mae, {R('r2')} AS r2 FROM scores""")
 def g05(spark, d):
     return rounded(scores(spark, d), 4, r2=6)
 
@@ -129,7 +155,7 @@ _TIDY = f"""{SCORES}, td AS (SELECT model, scenario, 'rmse' AS metric, rmse AS v
  b AS (SELECT model, metric, value AS baseline FROM td WHERE scenario = 'Original')"""
 
 
-@query("g10_delta_table", f"""WITH {_TIDY} SELECT model, scenario, metric, {R('value', 4)} AS value, {R('baseline', 4)} AS baseline, {R('value - baseline', 4)} AS delta,
+@query("g10_delta_table", f"""WITH RECURSIVE {_TIDY} SELECT model, scenario, metric, {R('value', 4)} AS value, {R('baseline', 4)} AS baseline, {R('value - baseline', 4)} AS delta,
  {R('(value - baseline) * 100 / abs(baseline)', 3)} AS percent, {R('greatest(value * 100 / baseline, 0)', 3)} AS percent_of_baseline,
  CASE WHEN metric = 'rmse' THEN value < baseline ELSE value > baseline END AS better FROM td JOIN b USING (model, metric)
  WHERE scenario <> 'Original'""")
@@ -151,21 +177,21 @@ def _methods(s):
     return s.select(method.alias("method"), use.alias("use"), "model", "r2")
 
 
-@query("g11_method_summary", f"""WITH {SCORES}, {_METHODS} SELECT method, use, {R('mean_r2')} AS mean_r2, n_models,
+@query("g11_method_summary", f"""WITH RECURSIVE {SCORES}, {_METHODS} SELECT method, use, {R('mean_r2')} AS mean_r2, n_models,
  mean_r2 = max(mean_r2) OVER (PARTITION BY use) AS best, mean_r2 = min(mean_r2) OVER (PARTITION BY use) AS worst,
  mean_r2 >= 0.95 * (SELECT mean_r2 FROM mm WHERE method = 'Original') AS near_original FROM mm WHERE method <> 'Original'""")
 def g11(spark, d):
     return rounded(U.method_summary(_methods(scores(spark, d))))
 
 
-@query("g12_win_count", f"""WITH {SCORES}, w AS (SELECT model, max(rmse) FILTER (WHERE scenario = 'Noise only') AS a, max(rmse) FILTER (WHERE scenario = 'Strong noise only') AS b FROM scores GROUP BY 1),
+@query("g12_win_count", f"""WITH RECURSIVE {SCORES}, w AS (SELECT model, max(rmse) FILTER (WHERE scenario = 'Noise only') AS a, max(rmse) FILTER (WHERE scenario = 'Strong noise only') AS b FROM scores GROUP BY 1),
  c AS (SELECT count(*) FILTER (WHERE a < b) AS wins, count(*) FILTER (WHERE a >= b) AS losses FROM w)
  SELECT wins, losses, CASE WHEN wins > losses THEN 'Noise only' WHEN wins = losses THEN 'mixed' ELSE 'Strong noise only' END AS verdict FROM c""")
 def g12(spark, d):
     return U.win_count(scores(spark, d), "Noise only", "Strong noise only")
 
 
-@query("g12_best_baseline", f"""WITH {SCORES}, b AS (SELECT model, arg_min(scenario, rmse) AS best_baseline, min(rmse) AS baseline_rmse FROM scores
+@query("g12_best_baseline", f"""WITH RECURSIVE {SCORES}, b AS (SELECT model, arg_min(scenario, rmse) AS best_baseline, min(rmse) AS baseline_rmse FROM scores
   WHERE scenario IN ('+ Noise', 'Strong noise only') GROUP BY model), c AS (SELECT model, rmse AS candidate_rmse FROM scores WHERE scenario = 'Noise only')
  SELECT model, best_baseline, {R('baseline_rmse', 4)} AS baseline_rmse, {R('candidate_rmse', 4)} AS candidate_rmse,
  CASE WHEN candidate_rmse < baseline_rmse THEN 'BETTER' ELSE 'WORSE' END AS status FROM b JOIN c USING (model)""")
@@ -173,41 +199,47 @@ def g12b(spark, d):
     return rounded(U.best_baseline(scores(spark, d), "Noise only", ["+ Noise", "Strong noise only"]), 4)
 
 
-def _r2_sql(src: str, dst: str) -> str:
-    b = f"(SELECT covar_pop({TARGET}, l_quantity) * count(*) / (var_pop(l_quantity) * count(*) + 1.0) FROM {src})"
-    p = f"((SELECT avg({TARGET}) FROM {src}) + {b} * (l_quantity - (SELECT avg(l_quantity) FROM {src})))"
-    return f"(SELECT 1 - sum(({TARGET} - {p}) * ({TARGET} - {p})) / (var_pop({TARGET}) * count(*)) FROM {dst})"
+def _tested_sql(fit: str, src: str) -> str:
+    """R2 of the one model of a CTE on a source."""
+    p = f"((SELECT intercept FROM {fit}) + list_dot_product((SELECT b FROM {fit}), [{', '.join(FEATURES)}]::double[]))"
+    return f"(SELECT 1 - sum(({TARGET} - {p}) * ({TARGET} - {p})) / (var_pop({TARGET}) * count(*)) FROM ({hot_sql(src)}))"
+
 
+def _one_sql(src: str) -> str:
+    return solved_sql(system_sql("Ridge", src, f"({hot_sql(src)})", FEATURES, TARGET, 1.0), f"f_{src}")
 
-@query("g13_bidirectional", f"WITH {_LSPLIT}, {_syn_sql()} " + " UNION ALL ".join(
-    f"SELECT '{a}' AS trained_on, '{b}' AS tested_on, {R(_r2_sql(s, t))} AS r2"
+
+@query("g13_bidirectional", f"WITH RECURSIVE {_LSPLIT}, {_syn_sql()}, {_one_sql('tr')}, {_one_sql('syn')} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS trained_on, '{b}' AS tested_on, {R(_tested_sql(f'f_{s}', t))} AS r2"
     for a, s in (("real", "tr"), ("synthetic", "syn")) for b, t in (("real", "te"), ("synthetic", "syn"))))
 def g13(spark, d):
     train, test = _parts(spark, d)
-    return rounded(U.bidirectional(train, test, _noise(train), M.ridge(["l_quantity"], TARGET), TARGET))
+    train = cut_lineage(train)
+    parts = {"real": hot(train), "test": hot(test), "synthetic": hot(_noise(train))}
+    return rounded(U.bidirectional_linear(parts, {"real": "test", "synthetic": "synthetic"}, MODELS["Ridge"], TARGET))
 
 
-_RUNS = f"WITH {_LSPLIT}, " + ", ".join(_syn_sql(s, tag=f"_{s}") for s in U.seeds(5)) + ", runs AS (" + " UNION ALL ".join(
-    f"SELECT {i} AS run, {_r2_sql(f'syn_{s}', 'te')} AS r2" for i, s in enumerate(U.seeds(5))) + ")"
+_RUNS = f"WITH RECURSIVE {_LSPLIT}, " + ", ".join(f"{_syn_sql(s, tag=f'_{s}')}, {_one_sql(f'syn_{s}')}" for s in U.seeds(5)) + ", runs AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS run, {_tested_sql(f'f_syn_{s}', 'te')} AS r2" for i, s in enumerate(U.seeds(5))) + ")"
 
 
 @query("g14_multi_seed", f"{_RUNS} SELECT count(*) AS n_runs, {R('avg(r2)')} AS mean, {R('stddev_pop(r2)')} AS std, {R('min(r2)')} AS min, {R('max(r2)')} AS max FROM runs")
 def g14(spark, d):
     train, test = _parts(spark, d)
     train = cut_lineage(train)
-    return rounded(U.seed_summary(U.multi_seed(lambda s: _noise(train, s), test, M.ridge(["l_quantity"], TARGET), TARGET)))
+    return rounded(U.seed_summary(U.multi_seed_linear(lambda s: hot(_noise(train, s)), hot(test), MODELS["Ridge"], TARGET)))
 
 
 _BAND = "CASE WHEN max(r2) > 0.9 THEN 'HIGH' WHEN max(r2) > 0.7 THEN 'MODERATE' WHEN max(r2) > 0.5 THEN 'MODERATE-LOW' ELSE 'LOW' END"
 _BAND_SHORT = "CASE WHEN max(r2) > 0.9 THEN 'HIGH' WHEN max(r2) > 0.7 THEN 'MODERATE' ELSE 'LOW' END"
 
 
-@query("g15_baseline_band", f"WITH {SCORES} SELECT {R('max(r2)')} AS best_r2, arg_max(model, r2) AS best_model, {_BAND} AS band FROM scores WHERE scenario = 'Original'")
+@query("g15_baseline_band", f"WITH RECURSIVE {SCORES} SELECT {R('max(r2)')} AS best_r2, arg_max(model, r2) AS best_model, {_BAND} AS band FROM scores WHERE scenario = 'Original'")
 def g15(spark, d):
     return rounded(U.baseline_band(scores(spark, d).where("scenario = 'Original'")))
 
 
-@query("g15_baseline_band_short", f"WITH {SCORES} SELECT {R('max(r2)')} AS best_r2, arg_max(model, r2) AS best_model, {_BAND_SHORT} AS band FROM scores WHERE scenario = 'Original'")
+@query("g15_baseline_band_short", f"WITH RECURSIVE {SCORES} SELECT {R('max(r2)')} AS best_r2, arg_max(model, r2) AS best_model, {_BAND_SHORT} AS band FROM scores WHERE scenario = 'Original'")
 def g15b(spark, d):
     return rounded(U.baseline_band(scores(spark, d).where("scenario = 'Original'"), with_moderate_low=False))
 
@@ -260,26 +292,29 @@ def g09(spark, d):
 _PU = (("noise 0.1", 42, 0.1), ("noise 1.0", 43, 1.0))
 
 
-def _part_r2(src: str) -> str:
-    b = f"(SELECT covar_pop(p_retailprice, p_size) * count(*) / (var_pop(p_size) * count(*) + 1.0) FROM {src})"
-    p = f"((SELECT avg(p_retailprice) FROM {src}) + {b} * (p_size - (SELECT avg(p_size) FROM {src})))"
-    return f"(SELECT 1 - sum((p_retailprice - {p}) * (p_retailprice - {p})) / (var_pop(p_retailprice) * count(*)) FROM pte)"
+_PART_FEATURES = ("p_size", *[f"x{j}" for j in range(N_TYPES)])
+
+
+def _part_hot(df):
+    return df.select("p_size", "p_retailprice", *[(F.col(f"{PART_CAT}_code") == j).cast("double").alias(f"x{j}") for j in range(N_TYPES)])
+
+
+def _part_hot_sql(src: str) -> str:
+    return f"SELECT p_size::double AS p_size, p_retailprice, {', '.join(f'(code = {j})::double AS x{j}' for j in range(N_TYPES))} FROM {src}"
 
 
-@query("p08_privacy_utility_table", f"WITH {PART_BASE}, " + ", ".join(
+@query("p08_privacy_utility_table", f"WITH RECURSIVE {PART_BASE}, " + ", ".join(
     f"{part_syn_sql(s, k, f'_{s}')}, {attack_sql(f'_{s}', n)}" for n, s, k in _PU) + ", every AS ("
-    + " UNION ALL ".join(f"SELECT * FROM att_{s}" for _, s, _ in _PU) + f"), {auc_sql('every', 'res')}, ut AS ("
-    + " UNION ALL ".join(f"SELECT '{n}' AS run, {_part_r2(f'psyn_{s}')} AS r2" for n, s, _ in _PU) + ") "
-    + f"SELECT run AS method, {R('r2')} AS r2, {R('auc')} AS auc, {R('1 - auc')} AS privacy FROM res JOIN ut USING (run)")
+    + " UNION ALL ".join(f"SELECT * FROM att_{s}" for _, s, _ in _PU) + f"), {auc_sql('every', 'res')}, "
+    + solved_sql(" UNION ALL ".join(system_sql("ridge", n, f"({_part_hot_sql(f'psyn_{s}')})", _PART_FEATURES, "p_retailprice", 1.0) for n, s, _ in _PU))
+    + f""", pr AS (SELECT scenario AS run, p_retailprice AS y, intercept + list_dot_product(b, [{', '.join(_PART_FEATURES)}]::double[]) AS p FROM ({_part_hot_sql('pte')}), fits),
+ ut AS (SELECT run, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM pr GROUP BY run)
+ SELECT run AS method, {R('r2')} AS r2, {R('auc')} AS auc, {R('1 - auc')} AS privacy FROM res JOIN ut USING (run)""")
 def p08(spark, d):
     from semblance.operators.privacy import attack_auc
 
     train, hold, _ = part_parts(spark, d)
-    scen = {n: part_copy(train, s, k) for n, s, k in _PU}
-    r2 = U.tstr(scen, hold, {"ridge": M.ridge(["p_size"], "p_retailprice")}, "p_retailprice")
-    runs = None
-    for n, s, k in _PU:
-        one = _distances(spark, d, s, n, scale_by=k)
-        runs = one if runs is None else runs.unionByName(one)
-    auc = attack_auc(runs).select(F.col("run").alias("method"), "auc")
+    parts = {n: _part_hot(part_copy(train, s, k)) for n, s, k in _PU}
+    r2 = U.tstr_linear(parts, {n: (n,) for n in parts}, _part_hot(hold), {"ridge": U.LinearSpec(_PART_FEATURES)}, "p_retailprice")
+    auc = attack_auc(part_runs(spark, d, _PU)).select(F.col("run").alias("method"), "auc")
     return rounded(privacy_utility_table(r2.select(F.col("scenario").alias("method"), "r2"), auc))

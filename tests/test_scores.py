@@ -60,3 +60,65 @@ def test_r2_edges(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 2.0)], "y double, prediction double")
     assert regression_metrics(df, "y").first().r2 == 0
     assert regression_metrics(df.withColumn("y", F.lit(1.0)), "y").first().r2 is None
+
+
+def test_logistic_models_by_key(spark):
+    import math
+    import random
+
+    from semblance.operators.privacy import fit_logistic_by
+
+    rnd = random.Random(3)
+    data = {k: [(rnd.gauss(0, 2), 0) for _ in range(80)] + [(rnd.gauss(m, 2), 1) for _ in range(n)] for k, m, n in (("a", 1.0, 60), ("b", -3.0, 9), ("c", 0.0, 80))}
+    data |= {"apart": [(float(i), int(i >= 10)) for i in range(20)], "far": [(1000.0 + i, i % 2) for i in range(30)]}
+    rows = [(k, x, y) for k, v in data.items() for x, y in v] + [("a", None, 1)]
+    got = fit_logistic_by(spark.createDataFrame(rows, "g string, x double, y int"), "g", "x", "y")
+    assert set(got) == set(data)
+    for k, (a, b) in got.items():
+        p = [(1 / (1 + math.exp(-(a + b * x))), x, y) for x, y in data[k]]
+        size = sum(abs(x) for x, _ in data[k])
+        assert abs(sum(q - y for q, _, y in p)) < 1e-6 * len(p) and abs(sum((q - y) * x for q, x, y in p) + b) < 1e-6 * size
+    only = fit_logistic_by(spark.createDataFrame([("z", 1.0, 1), ("z", 2.0, 1)], "g string, x double, y int"), "g", "x", "y")
+    assert only["z"][0] > 5
+
+
+def test_moments_add_up_and_linear_scores(spark):
+    import numpy as np
+
+    from semblance.operators import models as M
+    from semblance.operators import utility as U
+
+    rnd = np.random.default_rng(4)
+
+    def rows(n, shift):
+        x = rnd.normal(shift, 1 + shift, size=(n, 3))
+        return np.column_stack([x, x @ [1.0, -2.0, 0.5] + rnd.normal(size=n)])
+
+    a, b, t = rows(300, 0), rows(40, 3), rows(100, 1)
+    frames = [spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, 1.0, 1.0, 1.0)] * gap, "u double, v double, w double, y double") for x, gap in ((a, 0), (b, 2), (t, 0))]
+    spec = {"all": U.LinearSpec(("u", "v", "w")), "two": U.LinearSpec(("w", "u"), 50.0)}
+    moments = U.scenario_moments({"a": frames[0], "b": frames[1]}, {"a": ["a"], "both": ["a", "b"], "none": []}, ["u", "v", "w", "y"])
+    both = np.vstack([a, b])
+    assert np.allclose(moments["both"].mean, both.mean(axis=0)) and np.allclose(moments["both"].cov, np.cov(both.T, bias=True)) and moments["none"].n == 0
+    out = U.tstr_linear({"a": frames[0], "b": frames[1]}, {"a": ["a"], "both": ["a", "b"]}, frames[2], spec, "y")
+    one_by_one = U.tstr({"a": frames[0], "both": frames[0].unionByName(frames[1]).dropna()}, frames[2], {m: M.ridge(s.cols, "y", s.alpha) for m, s in spec.items()}, "y")
+    got, want = ({(r.model, r.scenario): (r.n, r.rmse, r.mae, r.r2) for r in x.collect()} for x in (out, one_by_one))
+    assert set(got) == set(want) and len(got) == 4
+    for k in got:
+        assert got[k] == pytest.approx(want[k])
+    fit = moments["a"].ridge(("u", "v", "w"), "y")
+    test_moments = M.keyed_moments(frames[2].withColumn("k", F.lit(1)), "k", ["y", "u", "v", "w"])[1]
+    assert test_moments.r2(fit, "y") == pytest.approx(got["all", "a"][3])
+
+
+def test_attack_runs_share_one_search(spark):
+    from semblance.functions.rand import normal
+
+    rows = spark.range(300).select("id", F.array(normal("a", F.col("id")), normal("b", F.col("id"))).alias("vec"))
+    train, hold, far = rows.where("id < 150"), rows.where("id >= 150"), rows.where("id < 70").select("id", F.transform("vec", lambda x: x * 3 + 1).alias("vec"))
+    runs = {"x": (train, hold, train), "y": (train, hold, far)}
+    for k in (1, 2):
+        got = sorted(map(tuple, V.attack_distances_by_run(runs, k).collect()))
+        want = sorted(tuple(r) for n, one in runs.items() for r in V.attack_distances(*one, k, n).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
