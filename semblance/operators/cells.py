@@ -8,7 +8,7 @@ the points stay a table and are read block by block.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,16 +122,25 @@ def ball_counts(balls: DataFrame, index: CellIndex, hot_visits: int = HOT_VISITS
 
     full = balls.select("bid", "vec", F.col("radius").cast("double").alias("radius")).where("radius IS NOT NULL AND vec IS NOT NULL")
     visits = cut_lineage(full.mapInPandas(plan, f"bid {kind}, vec array<double>, radius double, cell int, block int, inside long"))
-    todo = visits.where("cell >= 0")
-    at = ["cell", "block", "salt"]
-    busy = todo.groupBy("cell", "block").agg(F.count("*").alias("n")).where(F.col("n") > hot_visits)
+
+    def count(run: pd.DataFrame, vecs: np.ndarray, weights: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"bid": run["bid"], "inside": _inside(_matrix(run["vec"]), run["radius"].to_numpy(), vecs, weights)})
+
+    searched = _search_blocks(visits.where("cell >= 0").drop("inside"), index, count, f"bid {kind}, inside long", hot_visits)
+    return searched.unionByName(visits.where("cell < 0").select("bid", "inside")).groupBy("bid").agg(F.sum("inside").alias("inside"))
+
+
+def _search_blocks(visits: DataFrame, index: CellIndex, work: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, hot_visits: int) -> DataFrame:
+    """``work`` on the visits (bid, vec, radius, cell, block) of each block and its points; blocks with very many visits are salted."""
+    at, kind = ["cell", "block", "salt"], dict(visits.dtypes)["bid"]
+    busy = visits.groupBy("cell", "block").agg(F.count("*").alias("n")).where(F.col("n") > hot_visits)
     salts = F.broadcast(busy.select("cell", "block", F.ceil(F.col("n") / hot_visits).cast("int").alias("_salts")))  # at most visits / hot_visits rows
     many = F.coalesce(F.col("_salts"), F.lit(1))
-    left = todo.join(salts, ["cell", "block"], "left").withColumn("salt", F.pmod(F.xxhash64("bid"), many).cast("int"))
+    left = visits.join(salts, ["cell", "block"], "left").withColumn("salt", F.pmod(F.xxhash64("bid"), many).cast("int"))
     right = index.points.join(salts, ["cell", "block"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
     stream = right.select(*at, F.lit(0).alias("side"), F.lit(None).cast(kind).alias("bid"), "vec", F.lit(None).cast("double").alias("radius"), "weight").unionByName(
         left.select(*at, F.lit(1).alias("side"), "bid", "vec", "radius", F.lit(None).cast("long").alias("weight")))
-    width = int(balls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = stream.repartition(width, *at).sortWithinPartitions(*at, "side")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,11 +158,53 @@ def ball_counts(balls: DataFrame, index: CellIndex, hot_visits: int = HOT_VISITS
                     vecs.append(_matrix(run["vec"]))
                     weights.append(run["weight"].to_numpy().astype(np.int64))
                 elif vecs:
-                    found = _inside(_matrix(run["vec"]), run["radius"].to_numpy(), np.vstack(vecs), np.concatenate(weights))
-                    yield pd.DataFrame({"bid": run["bid"], "inside": found})
+                    yield work(run, np.vstack(vecs), np.concatenate(weights))
 
-    parts = ordered.mapInPandas(search, f"bid {kind}, inside long").unionByName(visits.where("cell < 0").select("bid", "inside"))
-    return parts.groupBy("bid").agg(F.sum("inside").alias("inside"))
+    return ordered.mapInPandas(search, schema)
+
+
+def rim_distances(balls: DataFrame, index: CellIndex, hot_visits: int = HOT_VISITS) -> DataFrame:
+    """(bid, inner, outer): the largest distance of a point inside each closed ball and the smallest outside it.
+
+    Each ball is compared with all points, a block at a time: for few balls.
+    """
+    kind = dict(balls.dtypes)["bid"]
+    places = [(int(c), b) for c in np.flatnonzero(index.size > 0) for b in range(int(index.blocks[c]))]
+    # one row per block
+    every = balls.sparkSession.createDataFrame(places, "cell int, block int")
+    visits = balls.select("bid", "vec", F.col("radius").cast("double").alias("radius")).join(F.broadcast(every))
+
+    def rim(run: pd.DataFrame, vecs: np.ndarray, weights: np.ndarray) -> pd.DataFrame:
+        rows = []
+        for bid, vec, radius in zip(run["bid"], _matrix(run["vec"]), run["radius"]):
+            diff = vecs - vec
+            dist = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
+            rows.append((bid, dist[dist <= radius].max(initial=-np.inf), dist[dist > radius].min(initial=np.inf)))
+        return pd.DataFrame(rows, columns=["bid", "inner", "outer"])
+
+    found = _search_blocks(visits, index, rim, f"bid {kind}, inner double, outer double", hot_visits)
+    return found.groupBy("bid").agg(F.max("inner").alias("inner"), F.min("outer").alias("outer"))
+
+
+def below_half_median(cases: DataFrame, points: DataFrame, **how) -> DataFrame:
+    """(bid, near): whether the distance of a case (bid, vec, distance) is less than half the median of its distances to all points (pid, vec).
+
+    The median itself is not needed: it exceeds twice the distance if fewer than half of the points lie in
+    the ball of that radius, which is a count over cells. Only where exactly half of an even number lies
+    inside do the two middle distances decide.
+    """
+    index = build_index(points.groupBy("vec").agg(F.min("pid").alias("pid"), F.count("*").alias("weight")), **how)
+    n = int(index.size.sum())
+    balls = cut_lineage(cases.select("bid", "vec", "distance", (F.col("distance") * 2).alias("radius")))
+    counted = cut_lineage(balls.join(ball_counts(balls, index), "bid"))
+    inside = F.col("inside")
+    if n % 2:
+        return counted.select("bid", (inside <= n // 2).alias("near"))
+    clear = counted.where(inside != n // 2).select("bid", (inside < n // 2).alias("near"))
+    even = counted.where(inside == n // 2)
+    rim = rim_distances(even, index)
+    middle = (F.col("inner") + F.col("outer")) / 2
+    return clear.unionByName(even.join(rim, "bid").select("bid", (F.col("distance") < middle / 2).alias("near")))
 
 
 # ---- approximate neighbours --------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semblance.functions.rand import draw_index, normal, uniform
+from semblance.operators.cells import below_half_median
 from semblance.operators.frames import cut_lineage, lookup
 from semblance.operators.neighbors import knn_join
 from semblance.operators.prepare import fit_standard, scale
@@ -163,6 +164,13 @@ def _kept_new(size: int, factor: float) -> tuple[int, int]:
     return -int(-round(factor * size, 9) // 1), 0
 
 
+def _near_cases(cases: DataFrame, points: DataFrame) -> DataFrame:
+    """(vec, distance, _near) for distinct cases of one region."""
+    named = cut_lineage(cases.select("vec", "distance", F.monotonically_increasing_id().alias("bid")))
+    near = below_half_median(named.select("bid", "vec", "distance"), points)
+    return named.join(near, "bid").select("vec", "distance", F.col("near").alias("_near"))
+
+
 def smogn(
     df: DataFrame, key: Column, cols: Sequence[str], target: str, cats: Sequence[str] = (), k: int = NEIGHBORS, method: str = "extreme",
     threshold: float = RELEVANCE, perturbation: float = PERTURBATION, seed: int = 42,
@@ -171,9 +179,8 @@ def smogn(
 
     A new row lies between a case and one of its k neighbours (by standardised features, in the same
     region) when that neighbour is within the case's safe distance, else it is the case with Gaussian
-    jitter. The published safe distance is half the median distance from the case to its whole region,
-    a comparison of all pairs; here that median is taken as sqrt(d2 + m), with d2 the squared distance
-    of the case to the region's centre and m the median of that over the region, which one pass gives.
+    jitter. The safe distance is half the median of the case's distances to its whole region, itself
+    included; whether a neighbour is nearer follows from counts inside balls, not from all pairs.
     ``origin`` tells kept, interpolated and jittered rows apart.
     """
     box = box_points(df, target)
@@ -194,14 +201,9 @@ def smogn(
         grown = tagged.where(F.col("region").isin(*needs))
         z = {c: f"_z_{c}" for c in cols}
         standard = scale(grown.withColumns({v: F.col(c) for c, v in z.items()}), fit_standard(df.withColumns({v: F.col(c) for c, v in z.items()}), list(z.values())))
-        centre = standard.groupBy("region").agg(*[F.avg(v).alias(f"_m{v}") for v in z.values()])
-        # one row per region
-        placed = standard.join(F.broadcast(centre), "region")
-        d2 = sum(((F.col(v) - F.col(f"_m{v}")) * (F.col(v) - F.col(f"_m{v}")) for v in z.values()), F.lit(0.0))
-        placed = cut_lineage(placed.withColumn("_d2", d2))
-        mid = {r: exact_quantiles(placed.where(F.col("region") == r), ["_d2"], [0.5])["_d2"][0] for r in needs}
+        placed = cut_lineage(standard)
         k_eff = min(k, min(sizes[r] for r in needs) - 1)
-        pairs = _pairs(placed, F.col("_key"), [*cols, target, "_d2"], cats, "region", k_eff, f"{seed}/smogn", list(z.values()))
+        pairs = _pairs(placed, F.col("_key"), [*cols, target, *z.values()], cats, "region", k_eff, f"{seed}/smogn", list(z.values()))
         sd_cols = [*cols, target]
         sd = {r: {c: p[1] for c, p in fit_standard(placed.where(F.col("region") == r), sd_cols).values.items()} for r in needs}
         i = F.col("i")
@@ -210,9 +212,15 @@ def smogn(
             draw_index(f"{seed}/base", i, _piecewise(i, needs, sizes)).alias("idx"),
             (draw_index(f"{seed}/pick", i, k_eff) + 1).cast("int").alias("rank"), uniform(f"{seed}/gap", i).alias("u"),
         )
-        rows = lookup(drawn, pairs, ["_g", "idx", "rank"], how="inner")
-        safe = F.sqrt(F.col("a")["_d2"] + _piecewise(i, needs, mid)) / 2.0
-        rows = rows.withColumn("_near", F.col("distance") < safe)
+        rows = cut_lineage(lookup(drawn, pairs, ["_g", "idx", "rank"], how="inner"))
+        vec = F.array(*[F.col("a")[v] for v in z.values()])
+        cases = rows.select("_g", vec.alias("vec"), "distance").distinct()
+        near = None
+        for r in needs:  # the regions: low, high, common
+            points = placed.where(F.col("region") == r).select(F.col("_key").alias("pid"), F.array(*z.values()).alias("vec"))
+            one = _near_cases(cases.where(F.col("_g") == r), points).select(F.lit(r).alias("_g"), "vec", "distance", "_near")
+            near = one if near is None else near.unionByName(one)
+        rows = lookup(rows.withColumn("vec", vec), near, ["_g", "vec", "distance"], how="inner")
         out = []
         for c in sd_cols:
             between = F.col("a")[c] + F.col("u") * (F.col("b")[c] - F.col("a")[c])

@@ -337,7 +337,33 @@ def e11p(spark, d):
     return O.smogn_regions(table(spark, d, "events"), "value")
 
 
-@query("e11_smogn")
+_SMOGN = f"""{_BOX}, ev AS (SELECT event_id, cast(event_id AS varchar) AS id, epoch_us(ts) / 60000000.0::double AS minute, cast(user_id AS double) AS user, event_type, value FROM events),
+ st AS (SELECT avg(minute) AS mm, stddev_pop(minute) AS sm, avg("user") AS mu, stddev_pop("user") AS su FROM ev),
+ e AS (SELECT ev.*, region, (minute - mm) / sm AS z0, ("user" - mu) / su AS z1 FROM ev JOIN rg USING (event_id), st),
+ sz AS (SELECT region, count(*) AS n FROM e GROUP BY 1), b AS (SELECT sum(n) / count(*) AS b, count(*) AS bumps FROM sz), sc AS (SELECT bumps * b / (SELECT sum(b * b / n) FROM sz, b) AS s, b FROM b),
+ f AS (SELECT region, n, round(b * b / n * s / n, 1) AS factor, CASE WHEN factor > 1 AND n > 1 THEN cast(round((factor - 1) * n) AS bigint) ELSE 0 END AS added FROM sz, sc),
+ kept AS (SELECT e.* FROM e JOIN f USING (region) QUALIFY factor >= 1 OR row_number() OVER (PARTITION BY region ORDER BY {S.digest('42/keep', 'id')}, id) <= ceil(round(factor * n, 9))),
+ grow AS (SELECT region, n, added, coalesce(sum(added) OVER (ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM f WHERE added > 0),
+ ke AS (SELECT least({O.NEIGHBORS}, min(n) - 1) AS k FROM grow),
+ nu AS (SELECT e.*, row_number() OVER (PARTITION BY region ORDER BY {S.digest('42/smogn', 'id')}, id) - 1 AS idx FROM e WHERE region IN (SELECT region FROM grow)),
+ pr AS (SELECT a.region, a.idx, a.id, b.id AS pid, sqrt((b.z0 - a.z0) * (b.z0 - a.z0) + (b.z1 - a.z1) * (b.z1 - a.z1)) AS dist FROM nu a JOIN nu b ON a.region = b.region),
+ md AS (SELECT region, idx, median(dist) / 2 AS safe FROM pr GROUP BY 1, 2),
+ nb AS (SELECT region, idx, pid, dist, row_number() OVER (PARTITION BY region, idx ORDER BY dist, pid) AS rk FROM pr WHERE id <> pid QUALIFY rk <= (SELECT k FROM ke)),
+ dr AS (SELECT region, i, {S.index('42/base', 'i', 'n')} AS idx, {S.index('42/pick', 'i', '(SELECT k FROM ke)')} + 1 AS rk, {S.uniform('42/gap', 'i')} AS u
+  FROM (SELECT region, n, unnest(range(start::bigint, (start + added)::bigint)) AS i FROM grow)),
+ sd AS (SELECT region, stddev_pop(minute) AS s_minute, stddev_pop("user") AS s_user, stddev_pop(value) AS s_value FROM nu GROUP BY 1),
+ nw AS (SELECT dr.region, i, u, a.minute AS a_minute, b.minute AS b_minute, a."user" AS a_user, b."user" AS b_user, a.value AS a_value, b.value AS b_value, a.event_type AS a_type, b.event_type AS b_type, dist < safe AS near, sd.*
+  FROM dr JOIN nu a ON a.region = dr.region AND a.idx = dr.idx JOIN nb ON nb.region = dr.region AND nb.idx = dr.idx AND nb.rk = dr.rk JOIN nu b ON b.region = dr.region AND b.id = nb.pid
+  JOIN md ON md.region = dr.region AND md.idx = dr.idx JOIN sd ON sd.region = dr.region)"""
+
+
+def _grown(c: str) -> str:
+    return R(f"CASE WHEN near THEN a_{c} + u * (b_{c} - a_{c}) ELSE a_{c} + {O.PERTURBATION} * s_{c} * {S.normal(f'42/jitter/{c}', 'i')} END", 3)
+
+
+@query("e11_smogn", f"""WITH {_SMOGN} SELECT region, {R('minute', 3)} AS minute, {R('"user"', 3)} AS "user", {R('value', 3)} AS value, event_type, 'kept' AS origin FROM kept
+ UNION ALL SELECT region, {_grown('minute')}, {_grown('user')}, {_grown('value')}, CASE WHEN near AND u >= 0.5 THEN b_type ELSE a_type END, CASE WHEN near THEN 'interpolated' ELSE 'jittered' END FROM nw""")
 def e11(spark, d):
-    e = table(spark, d, "events").select("event_id", F.hour("ts").cast("double").alias("hour"), F.col("user_id").cast("double").alias("user"), "event_type", "value")
-    return rounded(O.smogn(e, F.col("event_id"), ["hour", "user"], "value", cats=["event_type"]), 4)
+    minute = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(60_000_000.0)).alias("minute")
+    e = table(spark, d, "events").select("event_id", minute, F.col("user_id").cast("double").alias("user"), "event_type", "value")
+    return rounded(O.smogn(e, F.col("event_id"), ["minute", "user"], "value", cats=["event_type"]), 3)

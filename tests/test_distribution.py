@@ -152,3 +152,20 @@ def test_support_curve(spark):
     assert tuple(perfect) == (1.0, 1.0)
     none = D.support_scores(spark.createDataFrame([(i / 4, 0.0, 1.0) for i in range(5)], "level double, precision double, recall double")).first()
     assert none.alpha_precision == pytest.approx(0.0) and none.beta_recall == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("n", [40, 41])
+def test_below_half_median(spark, n):
+    rnd = np.random.default_rng(n)
+    points = rnd.normal(size=(n, 2))
+    points[5:9] = points[4]
+    line = np.array([[float(i), 0.0] for i in range(n)])  # distances tie, and half of them often lie inside
+    for x in (points, line):
+        d = distances(x, x)
+        cases, want = [], []
+        for i in range(n):
+            for step in (0.0, d[i].min(), float(np.median(d[i])) / 2, float(np.sort(d[i])[n // 2 - 1]) / 2, float(np.sort(d[i])[n // 2]) / 2 * 0.999999, 1.0, 3.7):
+                cases.append((len(cases), [float(v) for v in x[i]], float(step)))
+                want.append(bool(step < np.median(d[i]) / 2))
+        got = C.below_half_median(spark.createDataFrame(cases, "bid long, vec array<double>, distance double"), frame(spark, x).withColumnRenamed("id", "pid"), block_rows=6, pivots=9)
+        assert {r.bid: r.near for r in got.collect()} == dict(enumerate(want))
