@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,3 +53,40 @@ def draw_index(seed: str | int, key: Column, n: int | Column) -> Column:
     n = n if isinstance(n, Column) else F.lit(n)
     bits = F.conv(F.substring(digest(seed, key), 1, 13), 16, 10).cast("bigint")
     return F.floor(bits / F.lit(WIDE) * n).cast("bigint")
+
+
+# ---- draws inside Python blocks ----------------------------------------------------------
+
+# Shifts and multipliers of a published 32-bit integer mixer, and the start of the second chain.
+MIX = ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1))
+SECOND_CHAIN = 0x9E3779B9
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit words; uint32 arithmetic wraps."""
+    for shift, factor in MIX:
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
+    return x
+
+
+class Counter:
+    """Uniforms and normals that depend only on (seed, row, step, lane), whatever the block or order; SQL can recompute them.
+
+    Two chains of 32-bit words each take in seed, low and high word of the row, and the counter
+    step * lanes + lane. Rows beyond 2^32 differ in at least one chain but for a chance of 2^-64 a pair.
+    """
+
+    def __init__(self, seed: int, rows: np.ndarray, lanes: int):
+        rows = np.asarray(rows, dtype=np.uint64)
+        low, high = (rows & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rows >> np.uint64(32)).astype(np.uint32)
+        self.lanes = lanes
+        self.base = [mixed(mixed(mixed(np.array([(seed & 0xFFFFFFFF) ^ start], dtype=np.uint32)) ^ low) ^ high) for start in (0, SECOND_CHAIN)]
+
+    def uniform(self, step: int, lane: int, n: int, chain: int = 0) -> np.ndarray:
+        """(rows, n) values in (0, 1) from lanes lane .. lane + n - 1."""
+        at = np.arange(step * self.lanes + lane, step * self.lanes + lane + n).astype(np.uint32)
+        return (mixed(self.base[chain][:, None] ^ at[None, :]) + 0.5) / WORD
+
+    def normal(self, step: int, lane: int, n: int) -> np.ndarray:
+        """(rows, n) standard normals, one of each pair of chains by Box-Muller."""
+        return np.sqrt(-2.0 * np.log(self.uniform(step, lane, n))) * np.cos(2.0 * math.pi * self.uniform(step, lane, n, 1))

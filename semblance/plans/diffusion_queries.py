@@ -23,12 +23,17 @@ T = 100
 K = 3
 CODE = "l_returnflag_code"
 
-SCH = f"""ang AS (SELECT t, pow(cos((t / {T}.0::double + 0.008) / 1.008 * pi() / 2), 2) AS f FROM range({T + 1}) AS r(t)),
+def _schedule_sql(steps: int) -> str:
+    """CTEs ending in sch, the cosine schedule."""
+    return f"""ang AS (SELECT t, pow(cos((t / {steps}.0::double + 0.008) / 1.008 * pi() / 2), 2) AS f FROM range({steps + 1}) AS r(t)),
  be AS (SELECT a.t, greatest(least(1 - b.f / a.f, 0.9999), 0.0001)::double AS beta FROM ang a JOIN ang b ON b.t = a.t + 1),
  ab AS (SELECT t, beta, 1 - beta AS alpha, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS abar FROM be),
  ap AS (SELECT *, coalesce(lag(abar) OVER (ORDER BY t), 1.0::double) AS abar_prev FROM ab),
  sch AS (SELECT cast(t AS integer) AS t, beta, alpha, abar, abar_prev, beta * (1 - abar_prev) / (1 - abar) AS post_var,
   beta * sqrt(abar_prev) / (1 - abar) AS coef1, (1 - abar_prev) * sqrt(alpha) / (1 - abar) AS coef2 FROM ap)"""
+
+
+SCH = _schedule_sql(T)
 _MM = "((l_extendedprice - (SELECT min(l_extendedprice) FROM lineitem)) / ((SELECT max(l_extendedprice) FROM lineitem) - (SELECT min(l_extendedprice) FROM lineitem)) * 2 - 1)"
 _X = f"x AS (SELECT k, {_MM} AS x, {CODE} AS c, l_linestatus AS y FROM ({CODED}))"
 _TSQL = f"cast({S.index('42/t', 'k', T)} AS integer)"
@@ -280,6 +285,53 @@ def f09f(spark, d):
     return rounded(H.compare_moments(real, syn, DIMS).join(F.broadcast(ks), "column"), 4)
 
 
+# the whole sampler in SQL: four steps, two components, two numeric dimensions and one category
+FEW, WIDE, LEVELS = 4, ("l_quantity", TARGET), 3
+LANES = len(WIDE) + LEVELS
+
+
+def _model_sql() -> str:
+    """CTE mo: one row with weight, mean, covariance and category shares of both components, sorted by label."""
+    per = f"""sc AS (SELECT l_linestatus AS comp, {_mmc(WIDE[0])} AS v0, {_mmc(WIDE[1])} AS v1, {CODE} AS code FROM ({CODED})),
+ cs AS (SELECT row_number() OVER (ORDER BY comp) - 1 AS k, count(*) AS n, avg(v0) AS m0, avg(v1) AS m1, covar_pop(v0, v0) + {Y.RIDGE} AS a, covar_pop(v0, v1) AS b, covar_pop(v1, v1) + {Y.RIDGE} AS e,
+  {', '.join(f'(count_if(code = {j}) + 1.0::double) / (count(*) + {LEVELS}) AS p{j}' for j in range(LEVELS))} FROM sc GROUP BY comp)"""
+    cols = ("n", "m0", "m1", "a", "b", "e", *[f"p{j}" for j in range(LEVELS)])
+    return per + ", mo AS (SELECT " + ", ".join(f"max({c}) FILTER (WHERE k = {k}) AS {c}_{k}" for k in (0, 1) for c in cols) + " FROM cs)"
+
+
+def _step_sql(t: int) -> str:
+    """CTE s<t> from s<t+1>: one reverse step."""
+    at = t * LANES
+    comp = ", ".join(f"""ln(n_{k}) - 0.5 * ((d0{k} * d0{k} * s11{k} - 2 * d0{k} * d1{k} * s01{k} + d1{k} * d1{k} * s00{k}) / det{k} + ln(det{k})) AS base{k},
+   ln(abar * [p0_{k}, p1_{k}, p2_{k}][c + 1] + (1 - abar) / {LEVELS}) AS seen{k}, (s11{k} * d0{k} - s01{k} * d1{k}) / det{k} AS y0{k}, (s00{k} * d1{k} - s01{k} * d0{k}) / det{k} AS y1{k}""" for k in (0, 1))
+    sizes = ", ".join(f"x0 - sqrt(abar) * m0_{k} AS d0{k}, x1 - sqrt(abar) * m1_{k} AS d1{k}, abar * a_{k} + 1 - abar AS s00{k}, abar * b_{k} AS s01{k}, abar * e_{k} + 1 - abar AS s11{k}" for k in (0, 1))
+    dets = ", ".join(f"s00{k} * s11{k} - s01{k} * s01{k} AS det{k}" for k in (0, 1))
+    clean = [f"r0 * (m{i}_0 + sqrt(abar) * ({u}_0 * y00 + {w}_0 * y10)) + (1 - r0) * (m{i}_1 + sqrt(abar) * ({u}_1 * y01 + {w}_1 * y11))" for i, (u, w) in enumerate((("a", "b"), ("b", "e")))]
+    prior = [f"(q0 * p{j}_0 + (1 - q0) * p{j}_1)" for j in range(LEVELS)]
+    if t:
+        prior = [f"(abar_prev * {p} + (1 - abar_prev) / {LEVELS})" for p in prior]
+    scores = ", ".join(f"ln({p}) + ln((1 - alpha) / {LEVELS} + alpha * (c = {j})::int) - ln(-ln({S.counter_uniform('ca', at + len(WIDE) + j)}))" for j, p in enumerate(prior))
+    spread = "exp(0.5 * greatest(least(ln(greatest(post_var, 1e-20)), 2), -20))"
+    moved = ", ".join(f"coef1 * ((x{i} - sqrt(1 - abar) * (x{i} - sqrt(abar) * f{i}) / sqrt(1 - abar)) / sqrt(abar)) + coef2 * x{i}" + (f" + {spread} * {S.counter_normal('ca', 'cb', at + i)}" if t else "") + f" AS x{i}" for i in (0, 1))
+    return f"""s{t} AS (SELECT row, ca, cb, {moved}, list_position(sc, list_max(sc)) - 1 AS c FROM (SELECT *, {clean[0]} AS f0, {clean[1]} AS f1, [{scores}] AS sc FROM (
+  SELECT *, 1 / (1 + exp(base1 + seen1 - base0 - seen0)) AS r0, 1 / (1 + exp(base1 - base0)) AS q0 FROM (SELECT *, {comp} FROM (SELECT *, {dets} FROM (
+   SELECT *, {sizes} FROM s{t + 1}, mo, (SELECT * FROM sch WHERE t = {t})))))))"""
+
+
+_FIRST = ", ".join(f"{S.counter_normal('ca', 'cb', FEW * LANES + i)} AS x{i}" for i in range(len(WIDE)))
+_FIRST_SCORES = ", ".join(f"-ln(-ln({S.counter_uniform('ca', FEW * LANES + len(WIDE) + j)}))" for j in range(LEVELS))
+_STEPS = f"""WITH {_schedule_sql(FEW)}, {_model_sql()}, st AS (SELECT row, {S.counter_base(42, 'row')} AS ca, {S.counter_base(42, 'row', 1)} AS cb FROM range((SELECT count(*) FROM lineitem)) AS r(row)),
+ s{FEW} AS (SELECT * EXCLUDE (sc), list_position(sc, list_max(sc)) - 1 AS c FROM (SELECT *, {_FIRST}, [{_FIRST_SCORES}] AS sc FROM st)), {', '.join(_step_sql(t) for t in reversed(range(FEW)))}"""
+
+
+@query("f09_sample_steps", f"{_STEPS} SELECT row, {R('x0')} AS l_quantity, {R('x1')} AS {TARGET}, c::integer AS {CODE} FROM s0")
+def f09t(spark, d):
+    """As many rows as line items by four reverse steps, in scaled units."""
+    scaled = scaled_lines(spark, d)[0]
+    model = Y.fit_synthesizer(scaled, WIDE, {CODE: LEVELS}, condition="l_linestatus")
+    return rounded(Y.sample_synthesizer(spark, model, D.noise_schedule(FEW), table(spark, d, "lineitem").count()))
+
+
 # ---- oversamplers ----------------------------------------------------------------------
 
 _DIST = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in DOC_COLS) + ")"

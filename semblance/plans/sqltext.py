@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from semblance.functions import special
+from semblance.functions.rand import MIX, SECOND_CHAIN
 
 WORD = "4294967296.0::double"
 WIDE = "4503599627370496.0::double"
@@ -77,3 +78,24 @@ def probit(p: str) -> str:
         f"WHEN {tail} <= 5.0 THEN sign({q}) * {_poly(c.PROBIT_C, near)} / {_poly(c.PROBIT_D, near)} "
         f"ELSE sign({q}) * {_poly(c.PROBIT_E, far)} / {_poly(c.PROBIT_F, far)} END"
     )
+
+
+def _mixed(x: str) -> str:
+    for shift, factor in MIX:
+        x = f"list_transform([{x}], lambda y: (xor(y, y >> {shift}) * {factor}::ubigint) & 4294967295::ubigint)[1]"
+    return x
+
+
+def counter_base(seed: int, row: str, chain: int = 0) -> str:
+    """One chain of the block draws for a row, as an unsigned word."""
+    start = _mixed(f"{seed ^ (SECOND_CHAIN if chain else 0)}::ubigint")
+    return _mixed(f"xor({_mixed(f'xor({start}, ({row})::ubigint & 4294967295::ubigint)')}, ({row})::ubigint >> 32)")
+
+
+def counter_uniform(base: str, at: str | int) -> str:
+    """Uniform on (0, 1) of a chain at a counter."""
+    return f"((({_mixed(f'xor({base}, ({at})::ubigint)')})::double + 0.5::double) / {WORD})"
+
+
+def counter_normal(base: str, second: str, at: str | int) -> str:
+    return f"(sqrt(-2.0::double * ln({counter_uniform(base, at)})) * cos(2 * pi() * {counter_uniform(second, at)}))"

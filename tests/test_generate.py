@@ -69,3 +69,23 @@ def test_label_dropout_by_row_and_by_batch(spark):
     assert run(label_dropout=1.0, batch_size=50).where("label IS NOT NULL").count() == 0
     post = run(repeats=2).select(F.aggregate(F.transform("post_code", F.exp), F.lit(0.0), lambda a, x: a + x).alias("s"))
     assert post.count() == 1200 and post.where(F.abs(F.col("s") - 1) > 1e-9).count() == 0
+
+
+def test_sampler_draws_depend_on_rows_only(spark):
+    import numpy as np
+
+    from semblance.functions.rand import Counter
+    from semblance.operators import diffusion as D
+    from semblance.operators import synthesizer as Y
+
+    draws, rows = Counter(7, np.arange(20_000), 4), np.array([3, 19_999])
+    z = draws.normal(5, 0, 3)
+    assert np.array_equal(Counter(7, rows, 4).normal(5, 0, 3), z[rows])
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and abs(np.corrcoef(z.T)[0, 1]) < 0.03
+    assert not np.array_equal(Counter(7, rows + (1 << 32), 4).normal(5, 0, 3), z[rows])
+    data = spark.range(400).selectExpr("id", "cast(id % 3 as int) code", "if(id % 2 = 0, 'a', 'b') y", "id / 200.0D - 1 x", "cos(id) z")
+    model = Y.fit_synthesizer(data, ["x", "z"], {"code": 3}, condition="y")
+    for variant in ("posterior", "simple"):
+        out = [sorted(map(tuple, Y.sample_synthesizer(spark, model, D.noise_schedule(6), 100, variant=variant, block=b).collect())) for b in (4096, 7)]
+        assert [x[0] for x in out[0]] == list(range(100)) and [(x[0], x[3]) for x in out[0]] == [(x[0], x[3]) for x in out[1]]
+        assert np.allclose([x[1:3] for x in out[0]], [x[1:3] for x in out[1]])
