@@ -89,6 +89,28 @@ def chi2_tail(x: float | None, dof: int) -> float | None:
     return min(1.0, f * scale)
 
 
+def ks_exact_tail(m: int, n: int, gap: int) -> float:
+    """P(largest CDF gap of two samples of m and n values >= gap / (m n)) if all orders are equally likely.
+
+    Lattice paths from (0, 0) to (m, n) step by step: the share of paths to (i, j) that have met
+    |i n - j m| >= gap, one diagonal at a time, so small tails keep their digits. O(m n) work, O(m) memory.
+    """
+    if gap <= 0:
+        return 1.0
+    i = np.arange(m + 1, dtype=np.int64)
+    met = np.zeros(m + 1)
+    for s in range(1, m + n + 1):
+        lo, hi = max(0, s - n), min(s, m)
+        at = i[lo : hi + 1]
+        before = np.empty(hi - lo + 1)
+        before[0] = met[lo - 1] if lo else 0.0
+        before[1:] = met[lo:hi]
+        now = (at * before + (s - at) * met[lo : hi + 1]) / s
+        now[np.abs(at * (n + m) - s * m) >= gap] = 1.0
+        met[lo : hi + 1] = now
+    return float(met[m])
+
+
 def normal_tails(df: DataFrame, z: str, name: str) -> DataFrame:
     """Add the two-sided tail probability of a standard normal; null stays null."""
 

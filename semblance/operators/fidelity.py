@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from semblance.functions.special import chi2_tail
+from semblance.functions.special import chi2_tail, ks_exact_tail
 from semblance.operators.frames import melt, report
 from semblance.operators.ranks import running_counts
 
@@ -18,6 +18,7 @@ from semblance.operators.ranks import running_counts
 P_LIMIT = 0.05
 CORR_TOLERANCE = 0.1
 SHARE_FLOOR = 1e-10
+EXACT_ROWS = 10_000
 KS_TERMS = 100
 BINS = 20
 
@@ -66,15 +67,32 @@ def _cdf_steps(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFram
     )
 
 
-def ks_two_sample(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Largest CDF gap per column, its asymptotic p-value and the verdict at 0.05."""
+@F.pandas_udf(DoubleType())
+def _ks_exact_p(m: pd.Series, n: pd.Series, gap: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(g) else ks_exact_tail(int(a), int(b), int(g)) for a, b, g in zip(m, n, gap)], dtype=float)
+
+
+def ks_two_sample(real: DataFrame, syn: DataFrame, cols: Sequence[str], method: str = "auto", exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Largest CDF gap per column, its p-value and the verdict at 0.05.
+
+    ``method`` is auto (the exact law where both sides have at most ``exact_rows`` values, else the
+    asymptotic one), exact or asymptotic. The exact law counts lattice paths, O(n_real n_syn) for one number per column.
+    """
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError("method is auto, exact or asymptotic")
     steps = _cdf_steps(real, syn, cols)
+    limit = {"auto": exact_rows, "exact": 1 << 31, "asymptotic": -1}[method]
+    small = (F.col("total_n_real") <= limit) & (F.col("total_n_syn") <= limit)
+    cross = F.abs(F.col("cum_n_real") * F.col("total_n_syn") - F.col("cum_n_syn") * F.col("total_n_real"))
     out = steps.groupBy("column").agg(
-        F.max("gap").alias("ks"), F.first("total_n_real").alias("n_real"), F.first("total_n_syn").alias("n_syn")
+        F.max("gap").alias("ks"), F.first("total_n_real").alias("n_real"), F.first("total_n_syn").alias("n_syn"), F.max(F.when(small, cross)).alias("_gap")
     )
     a, b = F.col("n_real").cast("double"), F.col("n_syn").cast("double")
     n = a * b / (a + b)
-    out = out.withColumn("p_value", kolmogorov_tail(F.col("ks") * F.sqrt(n)))
+    p = kolmogorov_tail(F.col("ks") * F.sqrt(n))
+    if method != "asymptotic":
+        p = F.coalesce(_ks_exact_p("n_real", "n_syn", "_gap"), p)
+    out = out.withColumn("p_value", p).drop("_gap")
     return out.withColumn("verdict", F.when(F.col("p_value") > P_LIMIT, "PASS").otherwise("FAIL"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from semblance.functions.rand import uniform
 from semblance.operators import fidelity as H
 from semblance.operators import layout as L
 from semblance.operators import privacy as V
@@ -53,7 +54,27 @@ _P = (f"CASE WHEN {_LAM} < 0.2 THEN 1.0::double ELSE least(greatest(list_sum(lis
 @query("h02_ks_two_sample", f"""WITH {_SYN}, {_STEPS}, p AS (SELECT *, {_P} AS p FROM ks)
  SELECT col AS "column", {R('ks')} AS ks, n_real, n_syn, {R('p')} AS p_value, CASE WHEN p > 0.05 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM p""")
 def h02(spark, d):
-    return rounded(H.ks_two_sample(line_cols(spark, d), _copy(spark, d), DIMS))
+    return rounded(H.ks_two_sample(line_cols(spark, d), _copy(spark, d), DIMS, method="asymptotic"))
+
+
+# halves of the customers, one of them also shifted: the exact law by lattice paths, a diagonal per step
+_BALANCES = f"""cu AS (SELECT c_acctbal, {S.uniform('ks', 'c_custkey')} < 0.5 AS r FROM customer),
+ long AS (SELECT 'c_acctbal' AS col, c_acctbal AS v, r::int AS r FROM cu UNION ALL SELECT 'shifted', c_acctbal + CASE WHEN r THEN 0 ELSE 300 END, r::int FROM cu),
+ cnt AS (SELECT col, v, sum(r)::bigint AS nr, sum(1 - r)::bigint AS ns FROM long GROUP BY 1, 2),
+ st AS (SELECT col, sum(nr) OVER w AS cr, sum(ns) OVER w AS cs, sum(nr) OVER (PARTITION BY col) AS m, sum(ns) OVER (PARTITION BY col) AS n FROM cnt WINDOW w AS (PARTITION BY col ORDER BY v)),
+ ks AS (SELECT col, max(m)::bigint AS m, max(n)::bigint AS n, max(abs(cr / m - cs / n)) AS ks, max(abs(cr * n - cs * m))::bigint AS gap FROM st GROUP BY col),
+ lat AS (SELECT col, m, n, gap, 0::bigint AS s, 0::bigint AS i, 0.0::double AS met FROM ks
+  UNION ALL SELECT col, m, n, gap, s + 1, j, CASE WHEN abs(j * (n + m) - (s + 1) * m) >= gap THEN 1.0::double ELSE sum(part) END FROM (
+   SELECT col, m, n, gap, s, i AS j, met * (s + 1 - i) / (s + 1) AS part FROM lat WHERE s < m + n UNION ALL SELECT col, m, n, gap, s, i + 1, met * (i + 1) / (s + 1) FROM lat WHERE s < m + n)
+  WHERE j <= m AND s + 1 - j <= n GROUP BY col, m, n, gap, s, j)"""
+
+
+@query("h02_ks_exact", f"""WITH RECURSIVE {_BALANCES} SELECT ks.col AS "column", {R('ks')} AS ks, m AS n_real, n AS n_syn, {R('met')} AS p_value, CASE WHEN met > 0.05 THEN 'PASS' ELSE 'FAIL' END AS verdict
+ FROM ks JOIN (SELECT col, met FROM lat WHERE s = m + n AND i = m) USING (col)""")
+def h02x(spark, d):
+    first = uniform("ks", F.col("c_custkey")) < 0.5
+    c = table(spark, d, "customer").select("c_acctbal", first.alias("r"), (F.col("c_acctbal") + F.when(first, 0).otherwise(300)).alias("shifted"))
+    return rounded(H.ks_two_sample(c.where("r"), c.where("NOT r"), ["c_acctbal", "shifted"]))
 
 
 _SHARES = f"""cl AS ({_each(lambda c: f"SELECT '{c}' AS col, {c} AS value, 1 AS r FROM lineitem UNION ALL SELECT '{c}', {c}, 0 FROM syn", CATS)}),

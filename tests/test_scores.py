@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,27 @@ def test_attack_runs_share_one_search(spark):
         want = sorted(tuple(r) for n, one in runs.items() for r in V.attack_distances(*one, k, n).collect())
         assert [g[:3] for g in got] == [w[:3] for w in want]
         assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
+def test_exact_ks_law_against_enumeration():
+    from itertools import combinations
+
+    from semblance.functions.special import ks_exact_tail
+
+    for m, n in ((1, 1), (3, 4), (5, 5), (2, 7), (6, 4)):
+        gaps = []
+        for real in combinations(range(m + n), m):
+            i, worst = 0, 0
+            for s in range(m + n):
+                i += s in real
+                worst = max(worst, abs(i * n - (s + 1 - i) * m))
+            gaps.append(worst)
+        for gap in sorted(set(gaps)):
+            assert ks_exact_tail(m, n, gap) == pytest.approx(sum(g >= gap for g in gaps) / len(gaps))
+    assert ks_exact_tail(40, 40, 1600) == pytest.approx(2 / math.comb(80, 40)) and ks_exact_tail(5, 9, 0) == 1.0
+
+
+def test_ks_methods(spark):
+    a, b = nums(spark, 60, lambda i: (i * 37) % 61), nums(spark, 40, lambda i: (i * 29) % 53 + 4)
+    auto, exact, asymptotic, few = [H.ks_two_sample(a, b, ["x"], m, rows).first() for m, rows in (("auto", 10_000), ("exact", 1), ("asymptotic", 10_000), ("auto", 59))]
+    assert auto == exact and asymptotic == few and auto.ks == asymptotic.ks and auto.p_value != asymptotic.p_value
