@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from semblance.llm.token_files import chunks, gathered
 BLANK, BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 MOST_WORDS, LEAST, TOP = 5, 100, 2_000
 #: Text bytes and windows of a shard, expected windows of a prefix range, phrases of a range of the composition.
-SHARD_BYTES, SHARD_WINDOWS, RANGE_WINDOWS, RANGE_PHRASES = 12 << 20, 2_000_000, 1_500_000, 100_000
+SHARD_BYTES, SHARD_WINDOWS, RANGE_WINDOWS, RANGE_PHRASES = 8 << 20, 2_000_000, 1_000_000, 100_000
+#: Windows that a union holds beside those already united.
+HELD_WINDOWS = 500_000
 #: Documents and stride of the sample that decides where ranges end (never what is counted).
 SAMPLE_DOCS, SAMPLE_STRIDE = 4_000, 64
 WORD_BYTES = 6
@@ -58,14 +61,19 @@ def word_stream(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, piece, text
 
 
-def ranked(words: pa.Array) -> tuple[list[str], np.ndarray]:
+def ranked(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Distinct words in UTF-8 order, and the place of each word among them, from 1."""
     coded = words.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    order = sorted(range(len(names)), key=names.__getitem__)
-    place = np.empty(len(names), np.int32)
-    place[order] = np.arange(1, len(names) + 1, dtype=np.int32)
-    return [names[i] for i in order], place[coded.indices.to_numpy(zero_copy_only=False)]
+    order = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int32)
+    place[order.to_numpy()] = np.arange(1, len(order) + 1, dtype=np.int32)
+    return coded.dictionary.take(order).cast(pa.large_string()), place[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def place_of(words: pa.Array, name: str) -> tuple[int, bool]:
+    """Where a name belongs among sorted words, from 1, and whether it is there."""
+    at = bisect_left(range(len(words)), name, key=lambda i: words[i].as_py())
+    return at + 1, at < len(words) and words[at].as_py() == name
 
 
 def windows_at(code: np.ndarray, piece: np.ndarray, size: int = MOST_WORDS) -> np.ndarray:
@@ -102,7 +110,7 @@ class CountTransducer:
     label, target and weight of each arc; an arc's weight is the total of the paths through it.
     """
 
-    def __init__(self, langs: list[str], words: list[str], paths: np.ndarray, weight: np.ndarray):
+    def __init__(self, langs: pa.Array, words: pa.Array, paths: np.ndarray, weight: np.ndarray):
         self.langs, self.words, self.layers = langs, words, []
         depth, n = paths.shape[1], len(paths)
         first = [np.zeros(min(n, 1), np.int64)]
@@ -138,10 +146,11 @@ class CountTransducer:
         state, weight = np.full(min(self.root + 1, 1), self.root), np.zeros(0, np.int64)
         columns: list[np.ndarray] = []
         for start, label, target, total in self.layers:
+            start = start.astype(np.int64)
             size = start[state + 1] - start[state]
-            arc = gathered(np.arange(len(label)), start[state], size)
+            arc = gathered(np.arange(len(label), dtype=np.int32), start[state], size)
             columns = [np.repeat(c, size) for c in columns] + [label[arc].astype(np.int32)]
-            state, weight = target[arc], total[arc]
+            state, weight = target[arc].astype(np.int64), total[arc].astype(np.int64)
         return np.stack(columns, axis=1), weight
 
     def prefixes(self, paths: np.ndarray) -> np.ndarray:
@@ -149,7 +158,8 @@ class CountTransducer:
         out = np.zeros(paths.shape, np.int64)
         state, alive = np.full(len(paths), self.root), np.full(len(paths), self.root >= 0)
         base = max(len(self.langs), len(self.words)) + 1
-        for d, (start, label, target, total) in enumerate(self.layers):
+        for d, layer in enumerate(self.layers):
+            start, label, target, total = (x.astype(np.int64) for x in layer)
             keys = np.repeat(np.arange(len(start) - 1), np.diff(start)) * base + label
             want = state * base + paths[:, d]
             at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
@@ -160,14 +170,14 @@ class CountTransducer:
 
     def pack(self) -> bytes:
         layers = [tuple(x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)) for x in layer) for layer in self.layers]
-        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((self.langs, "\n".join(self.words), self.root, layers), protocol=5))
+        data = pickle.dumps((self.langs.to_pylist(), "\n".join(self.words.to_pylist()), self.root, layers), protocol=5)
+        return zstandard.ZstdCompressor(level=1).compress(data)
 
     @classmethod
     def unpack(cls, data: bytes) -> CountTransducer:
         out = cls.__new__(cls)
-        out.langs, words, out.root, layers = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-        out.words = words.split("\n") if words else []
-        out.layers = [tuple(x.astype(np.int64) for x in layer) for layer in layers]
+        langs, words, out.root, out.layers = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        out.langs, out.words = names(langs), names(words.split("\n") if words else [])
         return out
 
 
@@ -182,7 +192,11 @@ def _mixed(label: np.ndarray, target: np.ndarray, total: np.ndarray, seed: int)
     return h
 
 
-def narrowed(langs: list[str], words: list[str], paths: np.ndarray, weight: np.ndarray) -> CountTransducer:
+def names(words: Sequence[str]) -> pa.Array:
+    return pa.array(words, pa.large_string())
+
+
+def narrowed(langs: pa.Array, words: pa.Array, paths: np.ndarray, weight: np.ndarray) -> CountTransducer:
     """The transducer of paths that use few of the words: only those are stored."""
     used = np.unique(paths[:, 1:])
     used = used[used > 0]
@@ -190,34 +204,32 @@ def narrowed(langs: list[str], words: list[str], paths: np.ndarray, weight: np.n
     out = np.empty_like(paths)
     out[:, 1:] = np.where(paths[:, 1:] > 0, np.searchsorted(used, paths[:, 1:]) + 1, 0)
     out[:, 0] = np.searchsorted(lang, paths[:, 0]) + 1
-    return CountTransducer([langs[i - 1] for i in lang], [words[i - 1] for i in used], out, weight)
+    return CountTransducer(langs.take(pa.array(lang - 1)), words.take(pa.array(used - 1)), out, weight)
+
+
+Paths = tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]
 
 
-def united(parts: Sequence[CountTransducer]) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    """Union of transducers with weights summed: languages, words, distinct paths in order, weights."""
-    langs = sorted({x for p in parts for x in p.langs})
-    words = sorted({x for p in parts for x in p.words})
-    lang_at, word_at = {x: i + 1 for i, x in enumerate(langs)}, {x: i + 1 for i, x in enumerate(words)}
-    paths, weights = [], []
+def united(parts: Sequence[Paths]) -> Paths:
+    """Union of sets of paths (languages, words, paths, weights) with the weights of equal paths summed."""
+    langs, lang = ranked(pa.concat_arrays([p[0] for p in parts]))
+    words, word = ranked(pa.concat_arrays([p[1] for p in parts]))
+    stacked, at, lang_at, word_at = np.empty((sum(len(p[2]) for p in parts), MOST_WORDS + 1), np.int32), 0, 0, 0
     for p in parts:
-        own, weight = p.paths()
-        out = np.empty_like(own)
-        out[:, 0] = np.array([0, *map(lang_at.__getitem__, p.langs)], np.int32)[own[:, 0]]
-        out[:, 1:] = np.array([0, *map(word_at.__getitem__, p.words)], np.int32)[own[:, 1:]]
-        paths.append(out)
-        weights.append(weight)
-    return langs, words, *summed(np.concatenate(paths), np.concatenate(weights))
+        rows = stacked[at : at + len(p[2])]
+        rows[:, 0] = lang[lang_at : lang_at + len(p[0])][p[2][:, 0] - 1]
+        rows[:, 1:] = np.append(np.int32(0), word[word_at : word_at + len(p[1])])[p[2][:, 1:]]
+        at, lang_at, word_at = at + len(rows), lang_at + len(p[0]), word_at + len(p[1])
+    return langs, words, *summed(stacked, np.concatenate([p[3] for p in parts]))
 
 
-def border_places(borders: Sequence[tuple[str, ...]], langs: list[str], words: list[str], paths: np.ndarray) -> list[int]:
+def border_places(borders: Sequence[tuple[str, ...]], langs: pa.Array, words: pa.Array, paths: np.ndarray) -> list[int]:
     """Where each border (a path in text, '' for its end) falls among sorted paths."""
     out = []
     for border in borders:
         lo, hi = 0, len(paths)
         for d, name in enumerate(border):
-            names = words if d else langs
-            at = bisect_left(names, name) + 1 if name else 0
-            known = not name or (at <= len(names) and names[at - 1] == name)
+            at, known = place_of(words if d else langs, name) if name or not d else (0, True)
             left = lo + int(np.searchsorted(paths[lo:hi, d], at))
             hi = lo + int(np.searchsorted(paths[lo:hi, d], at, side="right")) if known else left
             lo = left
@@ -230,7 +242,7 @@ def border_places(borders: Sequence[tuple[str, ...]], langs: list[str], words: l
 # ---- counting ----------------------------------------------------------------------------
 
 
-def _told(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[str], np.ndarray]]:
+def _told(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
     """Languages, words and one path per word, for slices of a batch of (lang, text)."""
     at = 0
     for texts in chunks(batch.column(1), SHARD_BYTES):
@@ -254,8 +266,7 @@ def range_borders(docs: DataFrame, n_docs: int, n_bytes: int, range_windows: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for langs, words, paths in _told(b):
-                names = ["", *words]
-                rows = [[langs[p[0] - 1], *(names[i] for i in p[1:])] for p in paths[::SAMPLE_STRIDE].tolist()]
+                rows = [_names(langs, words, p) for p in paths[::SAMPLE_STRIDE]]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["path"])
 
     sample = docs.where(F.pmod(F.xxhash64("lang", "text"), F.lit(rate)) == 0).mapInArrow(run, "path array<string>")
@@ -287,7 +298,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
                         data = narrowed(langs, words, paths[s:e], weight[s:e]).pack()
                         yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([data], pa.binary())], names=["range", "part"])
 
-    def counted(place: int, parts: list[CountTransducer]) -> Iterator[pa.RecordBatch]:
+    def counted(place: int, parts: list[Paths]) -> Iterator[pa.RecordBatch]:
         """Arcs of the union that are frequent, or lie on the path of a border so that other ranges may hold more of them."""
         langs, words, paths, weight = united(parts)
         edge = borders[max(place - 1, 0) : place + 1]
@@ -313,17 +324,17 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, parts, held = None, [], 0
         for b in batches:
-            for r, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i in range(b.num_rows):
+                r, data = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 if r != place:
                     if parts:
                         yield from counted(place, parts)
                     place, parts, held = r, [], 0
                 part = CountTransducer.unpack(data)
-                parts.append(part)
-                held += sum(len(layer[1]) for layer in part.layers)
-                if held > 4 * range_windows:
-                    parts = [CountTransducer(*united(parts))]
-                    held = sum(len(layer[1]) for layer in parts[0].layers) // 2
+                parts.append((part.langs, part.words, *part.paths()))
+                held += len(parts[-1][2])
+                if held > HELD_WINDOWS:
+                    parts, held = [united(parts)], 0
         if parts:
             yield from counted(place, parts)
 
@@ -332,8 +343,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     return counts.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n_words") == 0))
 
 
-def _names(langs: list[str], words: list[str], path: np.ndarray) -> list[str]:
-    return [langs[path[0] - 1], *(words[i - 1] if i else "" for i in path[1:].tolist())]
+def _names(langs: pa.Array, words: pa.Array, path: np.ndarray) -> list[str]:
+    return [langs[int(path[0]) - 1].as_py(), *(words[i - 1].as_py() if i else "" for i in path[1:].tolist())]
 
 
 # ---- parts -------------------------------------------------------------------------------
@@ -381,7 +392,7 @@ def prefix_counts(phrases: DataFrame, backward: bool, range_phrases: int = RANGE
                 out[i, 1 : len(p)] = [word_at[w] for w in p[1:]]
             return out
 
-        found = PhraseTransducer(langs, words, *summed(coded(list(have)), np.fromiter(have.values(), np.int64, len(have)))).ends(coded(own))
+        found = PhraseTransducer(names(langs), names(words), *summed(coded(list(have)), np.fromiter(have.values(), np.int64, len(have)))).ends(coded(own))
         parts = [x[1 : len(p)] for x, p in zip(found.tolist(), own)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(parts, pa.list_(pa.int64()))], names=["lang", "phrase", "parts"])
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semblance.llm import phrase_mining
-from semblance.llm.phrase_mining import CountTransducer, border_places, phrase_counts, phrase_scores, summed, top_phrases, united, word_stream
+from semblance.llm.phrase_mining import CountTransducer, border_places, names, phrase_counts, phrase_scores, summed, top_phrases, united, word_stream
 
 
 def brute_counts(rows):
@@ -100,7 +100,7 @@ def test_large_products_stay_exact(spark):
 
 def test_transducer_round_trip_union_and_prefixes():
     rnd = np.random.default_rng(3)
-    words = sorted({f"w{i}" for i in range(30)} | {"é", "\x01"})
+    words, two = names(sorted({f"w{i}" for i in range(30)} | {"é", "\x01"})), names(["de", "en"])
 
     def some(n):
         p = np.zeros((n, 6), np.int32)
@@ -109,18 +109,18 @@ def test_transducer_round_trip_union_and_prefixes():
             p[:, j] = np.where((j == 1) | (p[:, j - 1] > 0), rnd.integers(j > 1 and 0 or 1, len(words) + 1, n), 0)
         return summed(p, rnd.integers(1, 4, n))
 
-    parts = [CountTransducer.unpack(CountTransducer(["de", "en"], words, *some(n)).pack()) for n in (4000, 1, 700)]
+    parts = [CountTransducer.unpack(CountTransducer(two, words, *some(n)).pack()) for n in (4000, 1, 700)]
     for t in parts:
-        again = CountTransducer(["de", "en"], words, *t.paths())
+        again = CountTransducer(two, words, *t.paths())
         assert [x.tolist() for layer in t.layers for x in layer] == [x.tolist() for layer in again.layers for x in layer]
-    langs, names, paths, weight = united(parts)
+    langs, known, paths, weight = united([(t.langs, t.words, *t.paths()) for t in parts])
     want = collections.Counter()
     for t in parts:
         for p, w in zip(*(x.tolist() for x in t.paths())):
-            want[(t.langs[p[0] - 1], *(t.words[i - 1] if i else "" for i in p[1:]))] += w
-    text = [(langs[p[0] - 1], *(names[i - 1] if i else "" for i in p[1:])) for p in paths.tolist()]
+            want[(t.langs[p[0] - 1].as_py(), *(t.words[i - 1].as_py() if i else "" for i in p[1:]))] += w
+    text = [(langs[p[0] - 1].as_py(), *(known[i - 1].as_py() if i else "" for i in p[1:])) for p in paths.tolist()]
     assert dict(zip(text, weight.tolist())) == dict(want) and text == sorted(text)
-    whole = CountTransducer(langs, names, paths, weight)
+    whole = CountTransducer(langs, known, paths, weight)
     assert sum(len(layer[1]) for layer in whole.layers) < sum(len(np.unique(paths[:, : d + 1], axis=0)) for d in range(6))
     sums = collections.Counter()
     for p, w in want.items():
@@ -129,7 +129,7 @@ def test_transducer_round_trip_union_and_prefixes():
     found = whole.prefixes(paths)
     assert all(found[i, k - 1] == sums[t[:k]] for i, t in enumerate(text) for k in range(1, 7))
     borders = sorted({text[7], text[500], ("de", "w0zz", "", "", "", ""), ("aa", "", "", "", "", ""), ("zz", "", "", "", "", "")})
-    assert border_places(borders, langs, names, paths) == [sum(t < b for t in text) for b in borders]
+    assert border_places(borders, langs, known, paths) == [sum(t < b for t in text) for b in borders]
 
 
 def test_word_stream_of_a_slice():
