@@ -19,7 +19,7 @@ SHINGLE, THRESHOLD = 3, 0.85
 BUCKET_BITS, BUCKETS, MANTISSA = 7, 128, 10
 BANDS, ROWS = 25, 5
 BLOCK_SHINGLES = 500_000
-#: Ids of rows without a doc_id start here, so that real ids are the smaller ones.
+#: Rows without a doc_id get a node number from here on; real ids may lie there too.
 NO_ID = 1 << 62
 _U = np.uint64
 _MIX = tuple(_U(x | 1) for x in np.random.default_rng(1).integers(1 << 62, 1 << 63, 64, dtype=np.uint64))
@@ -246,9 +246,11 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     only links leave the blocks.
 
     25 bands of 5 registers miss a pair at the threshold of 0.85 (0.8) with a chance of 1e-6 (1e-4),
-    and less above. Null and empty texts have an empty set and stand alone. A row without id gets
-    one from its text above all real ids; its component_id is null if it reaches no real id. Rows
-    that share an id are one document and land in one component. Kept: the row has the least id.
+    and less above. Null and empty texts have an empty set and stand alone. A row without id gets a
+    node number from its text; its component_id is null if it reaches no real id, and rows that
+    share a text and have no id are one node. Rows that share an id and a text are one document;
+    where texts of one id differ, each row has the component of its own text. Kept: the row has the least
+    id of its component, or is the first node of a component without ids.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -278,8 +280,11 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     found = scratch.keep(block_links(crowded.join(mixed, "key", "left_semi"), texts, size, percent))
     if not found.isEmpty():
         labels = components(links.unionByName(found), scratch)
-    done = rows.join(labels, "node", "left").select("given", "id", "th", "n", named.alias("comp"))
-    return done.select(
-        F.col("given").alias("id"), "th", F.col("n").alias("n_shingles"),
-        F.when(F.col("comp") < NO_ID, F.col("comp")).alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"),
-    )
+    done = rows.join(labels, "node", "left").select("given", "id", "th", F.col("n").alias("n_shingles"), named.alias("comp"))
+    # the least node is the least id, unless nodes without id may be smaller than real ids
+    plain = done.where(F.col("comp") < NO_ID).withColumn("component_id", F.col("comp"))
+    high = done.where(F.col("comp") >= NO_ID)
+    least = high.where("given IS NOT NULL").groupBy("comp").agg(F.min(F.col("given").cast("long")).alias("component_id"))
+    every = plain.unionByName(high.join(least, "comp", "left").select(plain.columns))
+    kept = F.when(F.col("component_id").isNotNull(), F.col("given").cast("long").eqNullSafe(F.col("component_id"))).otherwise(F.col("id") == F.col("comp"))
+    return every.select(F.col("given").alias("id"), "th", "n_shingles", "component_id", kept.alias("kept"))
