@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,9 +29,29 @@ _OTHER = re.compile(r"[\W\d_]+")
 _PIECE = 1 << 20
 
 
+@cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """By Unicode category: characters that plain regex classes take wrongly, and runs of neither letters nor marks after a letter."""
+    kinds = "".join(unicodedata.category(chr(c))[0] for c in range(0x110000))
+
+    def ranges(kind: str) -> str:
+        return "".join(f"{chr(m.start())}-{chr(m.end() - 1)}" for m in re.finditer(f"{kind}+", kinds))
+
+    marks, known = ranges("M"), ranges("[LM]")
+    wrong = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl"))
+    # one class of the basic plane is a table look-up; characters beyond it always take the second pattern
+    odd = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] == "M") + "".join(c for c in wrong if c < "\U00010000")
+    return re.compile(f"[{odd}]"), re.compile(f"(?:[^{known}]|(?<![{known}])[{marks}]+)+")
+
+
 def letters(text: str | None) -> str:
-    """Lower-cased letters with single spaces between; empty if there are none."""
-    return _OTHER.sub(" ", text or "").strip().lower()
+    """Lower-cased letters, with the marks that follow them, and single spaces between; empty if there are none."""
+    text = text or ""
+    if not text.isascii():
+        odd, other = _patterns()
+        if len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text) or odd.search(text):
+            return other.sub(" ", text).strip().lower()
+    return _OTHER.sub(" ", text).strip().lower()
 
 
 def gram_keys(text: str) -> np.ndarray:
