@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,7 +68,8 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str | None]], dic
     ``make`` runs once in each task and gives a function from a batch's texts to new columns.
     """
     kept = [c for c in df.columns if c != text]
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [fields])
+    # a schema object, not text: names of columns and of fields inside them may be anything
+    schema = T.StructType([df.schema[c] for c in kept] + T.StructType.fromDDL(fields).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -90,10 +90,10 @@ def mix_counts(docs: DataFrame, ident: str = "doc_id", text: str = "text", sourc
 
 
 def mixed_rows(docs: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The mix itself: every input row as often as it is taken, with ``mix_copy`` from 1."""
+    """The mix itself: every input row as often as it is taken, with ``mix_copy`` from 1 in place of a column of that name."""
     base = packed(docs, ident, text)
     counts = mix_counts(docs, ident, text, **how).where("copies > 0").groupBy("id", "th").agg(F.array_sort(F.collect_list("copies")).alias("all_copies"))
     joined = base.join(counts, base["id"].eqNullSafe(counts["id"]) & (base["th"] == counts["th"])).select("row", base["id"], base["th"], "all_copies")
     # rows equal in id and text share a list of counts; each takes its own entry
     number = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(1)))
-    return joined.select("row", F.element_at(F.concat("all_copies", F.array_repeat(F.lit(0).cast("long"), 1)), F.least(number, F.size("all_copies") + 1)).alias("copies")).where("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy"))
+    return joined.select("row", F.element_at(F.concat("all_copies", F.array_repeat(F.lit(0).cast("long"), 1)), F.least(number, F.size("all_copies") + 1)).alias("copies")).where("copies > 0").select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "mix_copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy"))
