@@ -33,10 +33,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies."""
-    found = near_duplicates(docs, size=SHINGLE, percent=PERCENT).where("NOT kept").select("id", "th").distinct()
+    """Keeps the document with the least id of each group of near copies, once where it is told several times."""
+    found = Scratch(spark).keep(near_duplicates(docs, size=SHINGLE, percent=PERCENT).groupBy("id", "th").agg(F.first("kept").alias("kept"), F.count("*").alias("n")))
     base = packed(docs, "doc_id", "text")
-    return base.join(found, same_key(base, found), "left_anti").select("row.*")
+    gone, again = found.where("NOT kept").select("id", "th"), found.where("kept AND n > 1").select("id", "th")
+    left = base.join(gone, same_key(base, gone), "left_anti")
+    if again.isEmpty():
+        return left.select("row.*")
+    once = left.join(again, same_key(left, again), "left_semi").groupBy("id", "th").agg(F.first("row").alias("row"))
+    return left.join(again, same_key(left, again), "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
