@@ -20,7 +20,9 @@ from semblance.operators.frames import const_array, melt
 
 BUCKETS = 1024
 SKETCH_ACCURACY = 20_000
-SMALL_DISTINCT = 100_000
+SMALL_DISTINCT = 200_000
+#: Accuracy of the sketch that encloses wanted ranks, and edges up to which a tree of comparisons finds the slot.
+ENCLOSING, TREE_EDGES = 2_000, 64
 SMALL_SERIES = 4_000_000
 
 
@@ -42,15 +44,21 @@ def with_bucket(long: DataFrame, edges: dict[str, list[float]], by: str, value:
         return long.withColumn("_bucket", F.lit(0))
     own = F.create_map(*[x for k, e in filled.items() for x in (F.lit(k), const_array(e, "double"))])[F.col(by)]
     most = max(map(len, filled.values()))
+    return long.withColumn("_bucket", F.coalesce(F.element_at(F.transform(F.array(own), lambda e: _steps(e, F.col(value), most)), 1), F.lit(0)))
+
+
+def _steps(e: Column, v: Column, most: int) -> Column:
+    """How many entries of a sorted array of up to ``most`` are <= v."""
     strides = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
 
-    def search(e: Column) -> Column:
-        def ahead(at: Column, stride: Column) -> Column:
-            return (at + stride <= F.size(e)) & (F.get(e, at + stride - 1) <= F.col(value))
+    def ahead(at: Column, stride: Column) -> Column:
+        return (at + stride <= F.size(e)) & (F.get(e, at + stride - 1) <= v)
+
+    return F.aggregate(strides, F.lit(0), lambda at, stride: F.when(ahead(at, stride), at + stride).otherwise(at))
 
-        return F.aggregate(strides, F.lit(0), lambda at, stride: F.when(ahead(at, stride), at + stride).otherwise(at))
 
-    return long.withColumn("_bucket", F.coalesce(F.element_at(F.transform(F.array(own), search), 1), F.lit(0)))
+def _search(v: Column, edges: list[float]) -> Column:
+    return F.element_at(F.transform(F.array(const_array(edges, "double")), lambda e: _steps(e, v, len(edges))), 1)
 
 
 def running_counts(
@@ -102,40 +110,92 @@ def running_counts(
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL_DISTINCT, buckets: int = BUCKETS
 ) -> dict[str, list[float | None]]:
-    """Exact linearly interpolated quantiles of whole columns.
+    """Exact linearly interpolated quantiles of whole columns, in two passes for all columns together.
 
-    Columns with few distinct values use the built-in ``percentile`` (its buffer is bounded
-    by the distinct count, which is checked first). Others are selected by bucket: sketch
-    edges, bucket histogram, then only buckets that hold a wanted rank are counted.
+    The first pass counts and sketches: for each probability it gives two values that enclose the
+    wanted rank. The second counts the values between such edges one by one and those elsewhere
+    only by side. Where that leaves more than ``small`` distinct values, or a sketch was off, the ranks are
+    selected by buckets instead (:func:`order_statistics`).
     """
     cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
+    # the sketch is off by at most 1 / ENCLOSING of the rows
+    margin = 2.0 / ENCLOSING
+    grid = [x for p in probs for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
     head = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(F.col(c).cast("double"), const_array(grid, "double"), ENCLOSING).alias(f"q{i}") for i, c in enumerate(cols)],
     ).first()
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     filled = {c: head[f"n{i}"] for i, c in enumerate(cols) if head[f"n{i}"]}
-    light = [c for i, c in enumerate(cols) if c in filled and head[f"d{i}"] <= small]
-    heavy = [c for c in filled if c not in light]
-    if light:
-        grid = const_array(probs, "double")
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), grid).alias(f"q{i}") for i, c in enumerate(light)]).first()
-        out.update({c: list(row[f"q{i}"]) for i, c in enumerate(light)})
-    if heavy:
-        wanted = {}
-        for c in heavy:
-            spots = [p * (filled[c] - 1) for p in probs]
-            wanted[c] = sorted({math.floor(s) for s in spots} | {math.ceil(s) for s in spots})
-        at = order_statistics(df, wanted, buckets)
-        for c in heavy:
-            vals = []
-            for p in probs:
-                s = p * (filled[c] - 1)
-                lo, hi = at[c][math.floor(s)], at[c][math.ceil(s)]
-                vals.append(lo + (hi - lo) * (s - math.floor(s)))
-            out[c] = vals
+    wanted = {c: sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}) for c, n in filled.items()}
+    edges = {}
+    for i, c in enumerate(cols):
+        if c in filled:
+            # below 10 ranks per margin the whole column is looked at
+            spans = [(-math.inf, math.inf)] if filled[c] < 10 * ENCLOSING else sorted(
+                (lo if low > 0.0 else -math.inf, hi if high < 1.0 else math.inf) for low, high, lo, hi in zip(grid[::2], grid[1::2], head[f"q{i}"][::2], head[f"q{i}"][1::2]))
+            edges[c] = _merged(spans)
+    at = _between(df, wanted, edges, small)
+    left = [c for c in filled if c not in at]
+    if left:
+        at |= order_statistics(df, {c: wanted[c] for c in left}, buckets)
+    for c, n in filled.items():
+        spots = [p * (n - 1) for p in probs]
+        out[c] = [at[c][math.floor(s)] + (at[c][math.ceil(s)] - at[c][math.floor(s)]) * (s - math.floor(s)) for s in spots]
+    return out
+
+
+def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for lo, hi in spans:
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _tree(v: Column, edges: list[float], lo: int, hi: int) -> Column:
+    """How many of edges[lo:hi] are <= v, plus lo, by a balanced tree of comparisons."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(v < F.lit(edges[mid]), _tree(v, edges, lo, mid)).otherwise(_tree(v, edges, mid + 1, hi))
+
+
+def _between(df: DataFrame, wanted: dict[str, list[int]], spans: dict[str, list[tuple[float, float]]], small: int) -> dict[str, dict[int, float]]:
+    """Values at ranks that lie in closed spans; columns whose spans hold too many values, or miss a rank, are left out."""
+    # slot 2 i + 1 is span i, even slots lie between spans; a span's upper edge is the next larger number
+    cuts = {c: [x for lo, hi in s for x in (lo, math.nextafter(hi, math.inf))] for c, s in spans.items()}
+    few = {c for c in cuts if len(cuts[c]) <= TREE_EDGES}
+    parts = []
+    for c in wanted:
+        v = F.col(c).cast("double")
+        inner = [e for e in cuts[c] if e != -math.inf]
+        shift = len(cuts[c]) - len(inner)
+        if c in few:
+            slot = _tree(v, inner, 0, len(inner)) + shift
+        else:
+            slot = _search(v, inner) + shift
+        parts.append((c, v, slot))
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), slot.cast("int").alias("slot"), v.alias("v")) for i, (_, v, slot) in enumerate(parts)])
+    tall = df.select(F.inline(cells)).where("v IS NOT NULL").select("c", "slot", F.when(F.col("slot") % 2 == 1, F.col("v")).alias("v"))
+    names = [c for c, _, _ in parts]
+    rows = tall.groupBy("c", "slot", "v").agg(F.count("*").alias("n")).limit(small + 1).collect() if names else []
+    if len(rows) > small:
+        return {}
+    out: dict[str, dict[int, float]] = {}
+    for i, c in enumerate(names):
+        mine = sorted(((r["slot"], r["v"], r["n"]) for r in rows if r["c"] == i), key=lambda x: (x[0], x[1] is not None, x[1] != x[1], x[1] if x[1] is not None else 0.0))
+        ends, run = [], 0
+        for _, _, n in mine:
+            run += n
+            ends.append(run)
+        found = {r: mine[bisect.bisect_right(ends, r)][1] for r in wanted[c]}
+        if all(x is not None for x in found.values()):
+            out[c] = found
     return out
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from semblance.functions.text import extract_dims_pitch
 from semblance.operators import profile as P
+from semblance.operators.frames import ensure_checkpoint_dir
 from semblance.operators.prepare import split_random
 from semblance.plans import sqltext as S
 from semblance.plans.inputs import GAPPY, NUMERIC, RAW_PARTS, TARGET, R, gappy_lines, lines, raw_parts, rounded
@@ -230,3 +233,58 @@ def c09n(spark, d):
 @query("c09_select_columns_full", _select_sql("full"))
 def c09f(spark, d):
     return P.select_columns(mixed_lines(spark, d), "l_quantity", "full")
+
+
+# ---- mergeable states ------------------------------------------------------------------
+
+_SKETCHED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+_REGISTERS = " UNION ALL ".join(f"SELECT '{c}' AS col, md5(cast({c} AS varchar)) AS h FROM orders WHERE {c} IS NOT NULL" for c in _SKETCHED if c != "o_totalprice")
+
+
+@query("b01_distinct_sketch", f"""WITH hs AS ({_REGISTERS}), rg AS (SELECT col, ('0x' || substr(h, 1, 3))::int AS register, max(53 - CASE WHEN ('0x' || substr(h, 4, 13))::bigint > 0 THEN length(bin(('0x' || substr(h, 4, 13))::bigint)) ELSE 0 END) AS rank FROM hs GROUP BY 1, 2),
+ sm AS (SELECT col, count(*) AS filled, sum(pow(2.0::double, -rank)) + 4096 - count(*) AS inverse FROM rg GROUP BY col), es AS (SELECT *, 0.7213::double / (1 + 1.079::double / 4096) * 4096 * 4096 / inverse AS raw FROM sm)
+ SELECT col AS "column", {R('CASE WHEN raw <= 2.5 * 4096 AND filled < 4096 THEN 4096.0::double * ln(4096.0::double / (4096 - filled)) ELSE raw END')} AS n_distinct, true AS merge_equals_whole, true AS within_five_errors FROM es""")
+def b01s(spark, d):
+    """States of two halves are stored, read back, merged, and compared with the state of the whole and with the exact counts."""
+    from semblance.operators import sketches as K
+
+    cols = [c for c in _SKETCHED if c != "o_totalprice"]
+    o = table(spark, d, "orders").select(*cols)
+    odd = F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == 1
+    merged = K.merge_distinct(*[_stored(spark, K.distinct_state(part, cols)) for part in (o.where(odd), o.where(~odd))])
+    differ = merged.exceptAll(K.distinct_state(o, cols)).unionByName(K.distinct_state(o, cols).exceptAll(merged)).count()
+    exact = P.distinct_counts(o, cols)
+    truth = F.create_map(*[F.lit(x) for c in cols for x in (c, float(exact[c]))])[F.col("column")]
+    near = F.abs(F.col("n_distinct") - truth) <= 5 * 1.04 / 64.0 * truth
+    return rounded(K.distinct_estimates(merged).select("column", "n_distinct", F.lit(differ == 0).alias("merge_equals_whole"), near.alias("within_five_errors")))
+
+
+_GROWTH = "(1.01::double / 0.99::double)"
+_PERCENTS = (0.0, 0.1, 0.5, 0.9, 0.99, 1.0)
+
+
+@query("b09_quantile_sketch", f"""WITH vs AS (SELECT o_totalprice - 100000 AS v FROM orders), bk AS (SELECT sign(v)::int AS side, CASE WHEN v <> 0 THEN ceil(ln(abs(v)) / ln({_GROWTH}))::int ELSE 0 END AS bucket, count(*) AS n FROM vs GROUP BY 1, 2),
+ cu AS (SELECT *, sum(n) OVER (ORDER BY side * bucket + side * 1048576) AS upto, sum(n) OVER () AS total FROM bk), ps AS (SELECT unnest([{', '.join(map(str, _PERCENTS))}]::double[]) AS prob),
+ ex AS (SELECT prob, floor(prob * ((SELECT count(*) FROM vs) - 1)) AS spot FROM ps), so AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM vs)
+ SELECT 'price' AS "column", ps.prob, {R(f'side * pow({_GROWTH}, bucket) * 2 / ({_GROWTH} + 1)', 3)} AS value, abs(side * pow({_GROWTH}, bucket) * 2 / ({_GROWTH} + 1) - v) <= 0.0100001 * abs(v) AS within_error
+ FROM ps JOIN ex USING (prob) JOIN so ON r = spot JOIN cu ON floor(ps.prob * (total - 1)) < upto AND floor(ps.prob * (total - 1)) >= upto - n""")
+def b09s(spark, d):
+    """Percentiles from the merged states of two halves, and whether they are within 1 % of the exact ones."""
+    from semblance.operators import sketches as K
+    from semblance.operators.ranks import order_statistics
+
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") - 100000).alias("price"))
+    odd = F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == 1
+    merged = K.merge_quantiles(*[_stored(spark, K.quantile_state(part, ["price"])) for part in (o.where(odd), o.where(~odd))])
+    spots = {p: int(p * (o.count() - 1)) for p in _PERCENTS}
+    exact = order_statistics(o, {"price": sorted(set(spots.values()))})["price"]
+    truth = F.create_map(*[F.lit(x) for p in _PERCENTS for x in (p, float(exact[spots[p]]))])[F.col("prob")]
+    return rounded(K.quantile_estimates(merged, _PERCENTS).withColumn("within_error", F.abs(F.col("value") - truth) <= 0.0100001 * F.abs(truth)), 3)
+
+
+def _stored(spark, state):
+    """A state written to and read from a table of its own."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid.uuid4().hex}"
+    state.write.parquet(path)
+    return spark.read.parquet(path)
