@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log, log10
+from math import ceil, log, log10
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -15,14 +16,17 @@ from pyspark.sql import functions as F
 
 from semblance.llm.common import Scratch, map_texts, same_key
 
-CLASSES = 1_024
+#: Frequent words that are classes of their own, and classes of all other words by their last letters.
+NAMED, FORMS, FORM_BYTES = 768, 512, 3
 KNOWN = 65_536
 DIM = 32
 NOISE = 64
 BATCH = 2_048
 RATE = 0.15
 FLUSH = 300_000
-END, RARE = 0, 1
+#: Tokens of a training shard: documents are dealt to shards by hash, and each trains a copy of the model.
+SHARD_TOKENS = 2_000_000
+END = 0
 END_WORD = " "  # no word has a space
 
 
@@ -51,24 +55,37 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Classes(dict):
+    """Class of each word: frequent words and the end have their own, the others that of their last bytes."""
+
+    def __init__(self, named: dict[bytes, int], forms: int):
+        super().__init__(named)
+        self.first, self.forms = len(named), forms
+
+    def __missing__(self, word: bytes) -> int:
+        return self.first + crc32(word[-FORM_BYTES:]) % self.forms
+
+    def __reduce__(self):
+        return Classes, (dict(self), self.forms)
+
+
 @dataclass
 class Vocabulary:
-    """Bounded: ids of the most frequent words as classes, counts of the ``KNOWN`` most frequent ones."""
+    """Bounded: the classes, counts of the ``KNOWN`` most frequent words, and per class the count and the mass that its words share."""
 
-    classes: dict[bytes, int]
+    classes: Classes
     counts: dict[bytes, int]
     class_counts: np.ndarray
     total: int
     kinds: int
-    rare_mass: float
+    mass: np.ndarray
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """Classes of the tokens of a text, the end last."""
-        get = self.classes.get
-        return np.fromiter((get(w, RARE) for w in words), np.int64, len(words))
+        """Classes of the words of a text."""
+        return np.fromiter(map(self.classes.__getitem__, words), np.int64, len(words))
 
 
-def vocabulary(counts: DataFrame, classes: int = CLASSES, known: int = KNOWN) -> Vocabulary:
+def vocabulary(counts: DataFrame, named: int = NAMED, forms: int = FORMS, known: int = KNOWN) -> Vocabulary:
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, kinds = whole["n"] or 0, whole["v"]
     # whole classes of counts from the top, as many as fit into the bound: what is collected is bounded by it
@@ -81,15 +98,19 @@ def vocabulary(counts: DataFrame, classes: int = CLASSES, known: int = KNOWN) ->
         least = r["step"]
     top = [] if least is None else sorted(counts.where(step >= least).collect(), key=lambda r: (-r["n"], r["word"]))
     table = {r["word"].encode("utf-8", "surrogatepass"): r["n"] for r in top}
-    ends = table.get(END_WORD.encode()) or (counts.where(F.col("word") == END_WORD).agg(F.sum("n")).first()[0] or 0)
-    table[END_WORD.encode()] = ends
-    named = [w for w in table if w != END_WORD.encode()][: classes - 2]
-    ids = {END_WORD.encode(): END} | {w: i + 2 for i, w in enumerate(named)}
-    n = np.zeros(classes)
-    for w, i in ids.items():
-        n[i] = table[w]
-    n[RARE] = total - n.sum()
-    return Vocabulary(ids, table, n, total, kinds, n[RARE] + 0.5 * (max(kinds - len(ids), 0) + 1))
+    end = END_WORD.encode()
+    table[end] = table.get(end) or (counts.where(F.col("word") == END_WORD).agg(F.sum("n")).first()[0] or 0)
+    own = [end, *[w for w in table if w != end][: named - 1]]
+    classes = Classes({w: i for i, w in enumerate(own)}, forms)
+    n, v = np.zeros(len(own) + forms), np.zeros(len(own) + forms)
+    # all words by form in one aggregate; those with a class of their own are taken off again
+    tail = F.substring(F.col("word").cast("binary"), -FORM_BYTES, FORM_BYTES)
+    for r in counts.groupBy((F.crc32(tail) % forms).cast("int").alias("form")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        n[len(own) + r["form"]], v[len(own) + r["form"]] = r["n"], r["v"]
+    for i, w in enumerate(own):
+        form = len(own) + crc32(w[-FORM_BYTES:]) % forms
+        n[form], v[form], n[i], v[i] = n[form] - table[w], v[form] - (table[w] > 0), table[w], 1
+    return Vocabulary(classes, table, n, total, kinds, n + 0.5 * (v + 1))
 
 
 @dataclass
@@ -160,9 +181,10 @@ class Trainer:
             x += self.rate * g / np.sqrt(s)
 
 
-def train_round(train: DataFrame, model: LogBilinear, vocab: Vocabulary, seed: int) -> LogBilinear:
-    """Every partition trains a copy on all its tokens; the copies are averaged by Spark, weighted by tokens.
+def train_round(train: DataFrame, model: LogBilinear, vocab: Vocabulary, seed: int, shards: int) -> LogBilinear:
+    """Every shard trains a copy on all its tokens, in an order by hash; Spark averages the copies, weighted by tokens.
 
+    Shards are a number of documents by hash, not partitions, so the model doesn't depend on how the input is cut.
     What reaches the driver is the averaged model, whose size does not depend on the corpus.
     """
     spark = train.sparkSession
@@ -171,25 +193,35 @@ def train_round(train: DataFrame, model: LogBilinear, vocab: Vocabulary, seed: i
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, voc = shared.value
-        trainer = Trainer(LogBilinear.from_rows(start.rows(), start.near.shape[1]), voc.class_counts, seed)
-        seen, parts, held = 0, [], 0
+        trainer, here, seen, parts, held = None, None, 0, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if parts:
+                _train(trainer, parts)
+            if seen + held:
+                rows = trainer.m.rows()
+                values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel(), pa.float32()), width).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), float(seen + held))), values], names=["row", "weight", "v"])
+
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for shard, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if shard != here:
+                    yield from done()
+                    trainer = Trainer(LogBilinear.from_rows(start.rows(), start.near.shape[1]), voc.class_counts, seed * 1_000_003 + shard)
+                    here, seen, parts, held = shard, 0, [], 0
                 parts.append(contexts(voc.ids(tokens(t))))
                 held += len(parts[-1][0])
                 if held >= 8 * BATCH:
                     seen += held
                     _train(trainer, parts)
                     parts, held = [], 0
-        if parts:
-            seen += held
-            _train(trainer, parts)
-        if seen:
-            rows = trainer.m.rows()
-            values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel(), pa.float32()), width).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), float(seen))), values], names=["row", "weight", "v"])
-
-    parts = train.select("text").mapInArrow(fit, "row long, weight double, v array<float>")
+        yield from done()
+
+    order = F.xxhash64("th", "id")
+    dealt = train.select(F.pmod(F.xxhash64("id", "th", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), order.alias("o"), "th", "text")
+    width_parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = dealt.repartition(width_parts, "shard").sortWithinPartitions("shard", "o", "th").select("shard", "text")
+    parts = ordered.mapInArrow(fit, "row long, weight double, v array<float>")
     mean = [(F.sum(F.col("v")[i] * F.col("weight")) / F.sum("weight")).alias(f"v{i}") for i in range(width)]
     table = parts.groupBy("row").agg(*mean).orderBy("row").toPandas()
     return LogBilinear.from_rows(table.drop(columns="row").to_numpy(), model.near.shape[1]) if len(table) else model
@@ -230,16 +262,18 @@ def score_texts(base: DataFrame, model: LogBilinear, log_z: np.ndarray, vocab: V
         end = END_WORD.encode()
         by_near, by_far = m.near @ m.out.T + m.bias, m.far @ m.out.T  # scores of every class after each context class
         parts, named, ends = {w: log10(c + 0.5) for w, c in voc.counts.items()}, voc.classes, voc.counts[end]
-        get = parts.get
+        get, share = parts.get, np.log10(voc.mass)
+        own = voc.classes.first
 
         def work(texts):
-            cols: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_part", "model_part", "n_rare")}
+            cols: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_part", "model_part")}
             rest_words, rest_counts, offsets = [], [], [0]
             for t in texts:
                 words = tokens(t)
                 target, a, b = contexts(voc.ids(words))
                 s = by_near[a, target] + by_far[b, target] - z[a, b]
-                model_part, base_part, unknown = float(s.sum(dtype=np.float64)) / log(10), parts[end], 0
+                others = target[target >= own]
+                model_part, base_part, unknown = float(s.sum(dtype=np.float64)) / log(10) - float(share[others].sum()), parts[end], 0
                 for w, f in Counter(words).items():
                     part = get(w)
                     if part is None:
@@ -251,14 +285,14 @@ def score_texts(base: DataFrame, model: LogBilinear, log_z: np.ndarray, vocab: V
                         model_part += f * part
                 offsets.append(len(rest_words))
                 cols["n_tokens"].append(len(words) + 1), cols["n_known"].append(len(words) - unknown + (ends > 0))
-                cols["base_part"].append(base_part), cols["model_part"].append(model_part), cols["n_rare"].append(int((target == RARE).sum()))
+                cols["base_part"].append(base_part), cols["model_part"].append(model_part)
             rest = pa.StructArray.from_arrays([pa.array(rest_words, pa.string()), pa.array(rest_counts, pa.int64())], names=["word", "f"])
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             return {k: pa.array(v, kind) for (k, v), kind in zip(cols.items(), kinds, strict=True)} | {"rest": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)}
 
         return work
 
-    return map_texts(base, make, "n_tokens long, n_known long, base_part double, model_part double, n_rare long, rest array<struct<word:string,f:bigint>>")
+    return map_texts(base, make, "n_tokens long, n_known long, base_part double, model_part double, rest array<struct<word:string,f:bigint>>")
 
 
 def lm_scores(docs: DataFrame, ident: str = "doc_id", text: str = "text", trains=None, rounds: int = 2) -> DataFrame:
@@ -266,14 +300,15 @@ def lm_scores(docs: DataFrame, ident: str = "doc_id", text: str = "text", trains
 
     ``trains`` (a column, by default all true) marks the documents to learn from. Tokens are words in
     lower case (A-Z) and one end per text; null texts are empty. base_score is the smoothed unigram
-    log10 probability. score is that of the log-bilinear model over classes - the 1,022 most frequent
-    words, the end, and one class for all others, inside which words follow the smoothed unigram
-    with one more for all unseen words - so it is normalised over all words.
+    log10 probability. score is that of the log-bilinear model over classes, as context and as
+    target: the ``NAMED`` most frequent words and the end are classes of their own, all others, unseen
+    ones too, go by their last bytes to one of ``FORMS`` classes, inside which words follow the smoothed unigram with one
+    more for all unseen words of the class. So it is normalised over all words.
 
     Word counts cover all training texts. The classes and the 65,536 most frequent words are
     known to every task (a bound on what is broadcast); other words, at most a few counts each, are
     joined with their counts by a shuffle. Every training token is trained on once, half of the
-    documents in each of two rounds. Nothing to learn from: all words are unseen. Rows equal in id
+    documents in each of two rounds, in shards of about ``SHARD_TOKENS`` tokens by hash: scores do not depend on partitions. Nothing to learn from: all words are unseen. Rows equal in id
     and text get equal scores; null ids are values like others.
     """
     spark = docs.sparkSession
@@ -284,8 +319,9 @@ def lm_scores(docs: DataFrame, ident: str = "doc_id", text: str = "text", trains
     counts = scratch.keep(count_words(learn))
     vocab = vocabulary(counts)
     model = LogBilinear.start(vocab.class_counts)
+    shards = max(1, ceil(vocab.total / rounds / SHARD_TOKENS))
     for r in range(rounds):
-        model = train_round(learn.where(F.pmod(F.xxhash64("id", "th"), F.lit(rounds)) == r), model, vocab, seed=r)
+        model = train_round(learn.where(F.pmod(F.xxhash64("id", "th"), F.lit(rounds)) == r), model, vocab, r, shards)
     scored = scratch.keep(score_texts(base, model, normalisers(spark, model), vocab))
     rest = scored.select("id", "th", F.posexplode("rest").alias("pos", "entry")).select("id", "th", "pos", "entry.*")
     asked = rest.join(counts, "word", "left")
@@ -296,5 +332,5 @@ def lm_scores(docs: DataFrame, ident: str = "doc_id", text: str = "text", trains
     return joined.select(
         "id", "th", "trains", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(int(vocab.total)).cast("long").alias("train_tokens"),
         (F.col("base_part") + F.col("part") - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("model_part") + F.col("part") - F.col("n_rare") * float(np.log10(vocab.rare_mass))).alias("score"),
+        (F.col("model_part") + F.col("part")).alias("score"),
     )
