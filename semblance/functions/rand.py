@@ -37,6 +37,17 @@ def uniform(seed: str | int, key: Column, lane: int = 0) -> Column:
     return word(seed, key, lane) / F.lit(WORD)
 
 
+def uniforms(seed: str | int, key: Column, n: int) -> Column:
+    """Array of n uniforms on [0, 1): four from each digest."""
+    def words(h: Column) -> Column:
+        return F.array(*[F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint") / F.lit(WORD) for i in range(4)])
+
+    # a value in a lambda is computed once
+    blocks = [F.element_at(F.transform(F.array(digest(f"{seed}/{b}", key)), words), 1) for b in range(-(-n // 4))]
+    every = F.concat(*blocks) if len(blocks) > 1 else blocks[0]
+    return F.slice(every, 1, n) if n % 4 else every
+
+
 def uniform_open(seed: str | int, key: Column, lane: int = 0) -> Column:
     """Uniform on (0, 1): half a step away from both ends."""
     return (word(seed, key, lane) + F.lit(0.5)) / F.lit(WORD)

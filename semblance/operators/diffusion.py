@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semblance.functions.arrays import argmax, log_add_exp, log_normalize, log_one_hot, one_hot, total
-from semblance.functions.rand import draw_index, normal, uniform
+from semblance.functions.arrays import TINY, argmax, bind, log_add_exp, log_normalize, log_one_hot, one_hot, total
+from semblance.functions.rand import draw_index, normal, uniform, uniforms
 from semblance.operators.frames import melt
 from semblance.operators.ranks import number_rows
 
@@ -98,9 +98,8 @@ def noise_numeric(df: DataFrame, cols: Sequence[str], schedule: Schedule, key: C
 
 
 def gumbel_sample(log_probs: Column, k: int, key: Column, seed: int | str = 42) -> Column:
-    """Category drawn from log probabilities by the Gumbel-max rule."""
-    u = F.array(*[uniform(f"{seed}/{j}", key) for j in range(k)])
-    noisy = F.zip_with(log_probs, u, lambda lp, x: lp - F.ln(-F.ln(x + GUMBEL_FLOOR) + GUMBEL_FLOOR))
+    """Category drawn from log probabilities by the Gumbel-max rule; one digest gives four draws."""
+    noisy = F.zip_with(log_probs, uniforms(seed, key, k), lambda lp, x: lp - F.ln(-F.ln(x + GUMBEL_FLOOR) + GUMBEL_FLOOR))
     return argmax(noisy)
 
 
@@ -128,7 +127,10 @@ def noise_categorical(
     if mode == "probability":
         out = out.withColumn(f"pt_{code}", mix_uniform(one_hot(F.col(code), k), F.col(share), k))
     elif mode == "sample":
-        logp = log_mix_uniform(log_one_hot(F.col(code), k), F.col(share), k)
+        # the block has two different values only
+        two = log_mix_uniform(F.array(F.lit(0.0), F.lit(math.log(TINY))), F.col(share), k)
+        levels = F.sequence(F.lit(0), F.lit(k - 1))
+        logp = bind(F.struct(two.alias("p"), F.col(code).alias("c")), lambda x: F.transform(levels, lambda j: F.when(j == x["c"], x["p"][0]).otherwise(x["p"][1])))
         out = out.withColumn(f"xt_{code}", gumbel_sample(logp, k, key, f"{seed}/cat/{code}"))
     else:
         raise ValueError("mode is 'probability' or 'sample'")

@@ -40,7 +40,7 @@ _TSQL = f"cast({S.index('42/t', 'k', T)} AS integer)"
 
 
 def _gumbel(logp: list[str], seed: str, k: str) -> str:
-    cells = ", ".join(f"{lp} - ln(-ln({S.uniform(f'{seed}/{j}', k)} + 1e-30) + 1e-30)" for j, lp in enumerate(logp))
+    cells = ", ".join(f"{lp} - ln(-ln({S.uniform(f'{seed}/{j // 4}', k, j % 4)} + 1e-30) + 1e-30)" for j, lp in enumerate(logp))
     return f"cast(list_position([{cells}], list_max([{cells}])) - 1 AS integer)"
 
 
