@@ -14,7 +14,6 @@ from semblance.operators.neighbors import knn_join
 from semblance.operators.prepare import split_random
 from semblance.plans import sqltext as S
 from semblance.plans.inputs import CATS, NUMERIC, TARGET, R, rounded
-from semblance.plans.prepare_queries import line_layout
 from semblance.plans.registry import query, table
 from semblance.plans.sampling_queries import DIMS, line_cols, noisy_lines, noisy_sql
 
@@ -386,11 +385,11 @@ def p05a(spark, d):
     return rounded(V.tpr_at_fpr(_distances(spark, d), drop_collinear=False))
 
 
-_BAND = "CASE WHEN {a} < 0.55 THEN 'excellent' WHEN {a} < 0.6 THEN 'safe' WHEN {a} < 0.7 THEN 'caution' ELSE 'warning' END"
+BAND_SQL = "CASE WHEN {a} < 0.55 THEN 'excellent' WHEN {a} < 0.6 THEN 'safe' WHEN {a} < 0.7 THEN 'caution' ELSE 'warning' END"
 
 
 @query("p06_privacy_verdict", f"""{_ATT}, {auc_sql('att', 'res')} SELECT run, {R('auc')} AS auc, {R('tpr1')} AS tpr_at_1_fpr, {R('tpr5')} AS tpr_at_5_fpr,
- {R('member_mean')} AS member_mean, {R('nonmember_mean')} AS nonmember_mean, n_member, n_nonmember, auc < 0.6 AS safe, {_BAND.format(a='auc')} AS band FROM res""")
+ {R('member_mean')} AS member_mean, {R('nonmember_mean')} AS nonmember_mean, n_member, n_nonmember, auc < 0.6 AS safe, {BAND_SQL.format(a='auc')} AS band FROM res""")
 def p06(spark, d):
     return rounded(V.privacy_verdict(_distances(spark, d)))
 
@@ -401,7 +400,7 @@ SEEDS = tuple(r * 42 for r in range(5))
 @query("p07_privacy_multi_run", f"WITH {PART_BASE}, " + ", ".join(f"{part_syn_sql(s, tag=f'_{s}')}, {attack_sql(f'_{s}', str(s))}" for s in SEEDS)
        + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM att_{s}" for s in SEEDS) + f"), {auc_sql('every', 'res')}, o AS (SELECT avg(auc) AS m FROM res) "
        + f"SELECT count(*) AS n_runs, {R('avg(auc)')} AS auc_mean, {R('stddev_pop(auc)')} AS auc_std, {R('min(auc)')} AS auc_min, {R('max(auc)')} AS auc_max, "
-       + f"{_BAND.format(a='avg(auc)')} AS band FROM res")
+       + f"{BAND_SQL.format(a='avg(auc)')} AS band FROM res")
 def p07(spark, d):
     return rounded(V.privacy_multi_run(part_runs(spark, d, [(str(s), s, 0.1) for s in SEEDS])))
 
@@ -413,14 +412,3 @@ def p07(spark, d):
 def p09(spark, d):
     train, _, syn = part_features(spark, d)
     return rounded(V.distance_to_closest_record(syn, train))
-
-
-@query("p06_privacy_verdict_lineitem")
-def p06l(spark, d):
-    df, layout, _ = line_layout(spark, d)
-    s = split_random(df, F.col("k"))
-    train, hold = s.where("NOT is_test"), s.where("is_test")
-    syn = A.noise_relative(train, F.col("k"), NUMERIC, TARGET)
-    key = F.col("k")
-    feats = [V.attack_features(train, layout, key), V.attack_features(hold, layout, key), V.attack_features(syn, layout, F.col("i"))]
-    return rounded(V.privacy_verdict(V.attack_distances(*feats)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from semblance.operators import models as M
 from semblance.operators import sampling as A
+from semblance.operators import privacy as V
 from semblance.operators import utility as U
 from semblance.operators.frames import cut_lineage
 from semblance.operators.layout import Layout
@@ -13,8 +14,9 @@ from semblance.operators.prepare import fit_standard, scale, split_random
 from semblance.operators.privacy import privacy_utility_table
 from semblance.plans import sqltext as S
 from semblance.plans.inputs import CATS, NUMERIC, TARGET, R, lines, rounded
+from semblance.plans.prepare_queries import line_layout
 from semblance.plans.registry import query, table
-from semblance.plans.report_queries import N_TYPES, PART_BASE, PART_CAT, attack_sql, auc_sql, part_copy, part_parts, part_runs, part_syn_sql
+from semblance.plans.report_queries import BAND_SQL, N_TYPES, PART_BASE, PART_CAT, attack_sql, auc_sql, part_copy, part_parts, part_runs, part_syn_sql
 from semblance.plans.sampling_queries import DOC_COLS, DOCS, _doc_split
 
 DIMS = (*NUMERIC, TARGET)
@@ -318,3 +320,33 @@ def p08(spark, d):
     r2 = U.tstr_linear(parts, {n: (n,) for n in parts}, _part_hot(hold), {"ridge": U.LinearSpec(_PART_FEATURES)}, "p_retailprice")
     auc = attack_auc(part_runs(spark, d, _PU)).select(F.col("run").alias("method"), "auc")
     return rounded(privacy_utility_table(r2.select(F.col("scenario").alias("method"), "r2"), auc))
+
+
+# ---- the verdict on line items ---------------------------------------------------------
+
+_COMBOS = len(LEVELS["l_returnflag"]) * len(LEVELS["l_linestatus"])
+_CODE = "(list_position(['A', 'N', 'R'], l_returnflag) - 1) * 2 + list_position(['F', 'O'], l_linestatus) - 1"
+_SCALED = ", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(DIMS))
+_HOT_GAP = " + ".join(
+    [f"(CASE WHEN (a // 2 = {j}) <> (b // 2 = {j}) THEN 1 / (h{j} * h{j}) ELSE 0 END)" for j in range(3)] + [f"(CASE WHEN (a % 2 = {j}) <> (b % 2 = {j}) THEN 1 / (h{3 + j} * h{3 + j}) ELSE 0 END)" for j in range(2)])
+_NEAR = " + ".join(f"(x.z{i} - y.z{i}) * (x.z{i} - y.z{i})" for i in range(4))
+# one-hot blocks add a constant per pair of category combinations; other combinations matter only where that is below the own nearest
+_LINE_ATTACK = f"""{_LSPLIT}, {_syn_sql()}, mo AS (SELECT {', '.join(f'avg({c}) AS m{i}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s{i}' for i, c in enumerate(DIMS))},
+  {', '.join(f'coalesce(nullif(stddev_pop({c}), 0), 1) AS h{j}' for j, c in enumerate(HOT))} FROM (SELECT *, {_HOT_SQL} FROM syn)),
+ ra AS (SELECT 'member' AS role, k AS id, {_CODE} AS cc, {_SCALED} FROM tr, mo UNION ALL SELECT 'nonmember', k, {_CODE}, {_SCALED} FROM te, mo), sy AS (SELECT {_CODE} AS cc, {_SCALED} FROM syn, mo),
+ gp AS (SELECT a, b, {_HOT_GAP} AS gap FROM (SELECT unnest(range({_COMBOS})) AS a), (SELECT unnest(range({_COMBOS})) AS b), mo),
+ ow AS (SELECT role, id, any_value(x.cc) AS cc, {', '.join(f'any_value(x.z{i}) AS z{i}' for i in range(4))}, min({_NEAR}) AS d2 FROM ra x JOIN sy y ON y.cc = x.cc GROUP BY role, id),
+ ot AS (SELECT role, id, min(gap + {_NEAR}) AS d2 FROM (SELECT ra.*, d2 FROM ra LEFT JOIN ow USING (role, id)) x JOIN gp ON gp.a = x.cc AND gp.b <> x.cc AND (x.d2 IS NULL OR gp.gap < x.d2) JOIN sy y ON y.cc = gp.b GROUP BY role, id),
+ att AS (SELECT '0' AS run, role, ra.id, sqrt(least(coalesce(ow.d2, ot.d2), coalesce(ot.d2, ow.d2))) AS distance FROM ra LEFT JOIN ow USING (role, id) LEFT JOIN ot USING (role, id))"""
+
+
+@query("p06_privacy_verdict_lineitem", f"""WITH {_LINE_ATTACK}, {auc_sql('att', 'res')} SELECT run, {R('auc')} AS auc, {R('tpr1')} AS tpr_at_1_fpr, {R('tpr5')} AS tpr_at_5_fpr,
+ {R('member_mean')} AS member_mean, {R('nonmember_mean')} AS nonmember_mean, n_member, n_nonmember, auc < 0.6 AS safe, {BAND_SQL.format(a='auc')} AS band FROM res""")
+def p06l(spark, d):
+    df, layout, _ = line_layout(spark, d)
+    s = split_random(df, F.col("k"))
+    train, hold = s.where("NOT is_test"), s.where("is_test")
+    syn = A.noise_relative(train, F.col("k"), NUMERIC, TARGET)
+    key = F.col("k")
+    feats = [V.attack_features(train, layout, key), V.attack_features(hold, layout, key), V.attack_features(syn, layout, F.col("i"))]
+    return rounded(V.privacy_verdict(V.attack_distances(*feats)))
