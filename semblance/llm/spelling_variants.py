@@ -22,7 +22,7 @@ from semblance.llm.common import Scratch, lower_ascii
 
 LETTERS = "a-zÀ-ÿ"
 #: Words of a block (one task holds one block at a time) and sampled words for each border between blocks.
-BLOCK_WORDS, SAMPLES = 100_000, 64
+BLOCK_WORDS, SAMPLES = 25_000, 64
 #: Gathered index rows and error states held at once.
 GATHER, QUERIES = 1 << 21, 4_096
 LAST = chr(0x10FFFF)
