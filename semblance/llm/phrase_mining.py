@@ -28,9 +28,9 @@ from semblance.llm.token_files import chunks, gathered
 BLANK, BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 MOST_WORDS, LEAST, TOP = 5, 100, 2_000
 #: Text bytes and windows of a shard, expected windows of a prefix range, phrases of a range of the composition.
-SHARD_BYTES, SHARD_WINDOWS, RANGE_WINDOWS, RANGE_PHRASES = 8 << 20, 2_000_000, 1_000_000, 100_000
+SHARD_BYTES, SHARD_WINDOWS, RANGE_WINDOWS, RANGE_PHRASES = 5 << 20, 1_000_000, 1_000_000, 100_000
 #: Windows that a union holds beside those already united.
-HELD_WINDOWS = 500_000
+HELD_WINDOWS = 300_000
 #: Documents and stride of the sample that decides where ranges end (never what is counted).
 SAMPLE_DOCS, SAMPLE_STRIDE = 4_000, 64
 WORD_BYTES = 6
@@ -54,11 +54,22 @@ def word_stream(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     edge[ends] = True  # a text's first byte, and one past its last
     start = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])))
     stop = np.flatnonzero(inside & (edge[1:] | np.concatenate([~inside[1:], [True]]))) + 1
-    piece = np.cumsum((kind == 2) | edge[:-1])[start]
+    piece = np.cumsum((kind == 2) | edge[:-1], dtype=np.int32)[start]
     text = np.searchsorted(ends, start, side="right") - 1
-    upto = np.concatenate([[0], np.cumsum(stop - start)])
-    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(upto.astype(np.int64).tobytes()), pa.py_buffer(raw[inside].tobytes()))
-    return words, piece, text
+    return words_of(stop - start, raw[inside].tobytes()), piece, text
+
+
+def words_of(size: np.ndarray, text: bytes) -> pa.Array:
+    """Words from their sizes in bytes and their text on end."""
+    upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(text))
+
+
+def text_of(words: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Sizes in bytes, in a small type, and the text on end."""
+    upto = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    size = np.diff(upto)
+    return size.astype(np.min_scalar_type(int(size.max(initial=0)))), words.buffers()[2].slice(int(upto[0]), int(upto[-1] - upto[0])).to_pybytes() if len(words) else b""
 
 
 def ranked(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -90,14 +101,14 @@ def summed(paths: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(paths):
         return paths, weight
     base = int(paths.max()) + 1
-    wide = paths.astype(np.int64)
-    keys = [wide[:, a] * base + wide[:, a + 1] for a in range(0, paths.shape[1] - 1, 2)]
+    keys = [paths[:, a].astype(np.int64) * base + paths[:, a + 1] for a in range(0, paths.shape[1] - 1, 2)]
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(paths), bool)
     new[0] = True
     for k in keys:
         k = k[order]
         new[1:] |= k[1:] != k[:-1]
+    del keys, k
     first = np.flatnonzero(new)
     return paths[order[first]], np.add.reduceat(weight[order], first)
 
@@ -170,14 +181,14 @@ class CountTransducer:
 
     def pack(self) -> bytes:
         layers = [tuple(x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)) for x in layer) for layer in self.layers]
-        data = pickle.dumps((self.langs.to_pylist(), "\n".join(self.words.to_pylist()), self.root, layers), protocol=5)
+        data = pickle.dumps((self.langs.to_pylist(), *text_of(self.words), self.root, layers), protocol=5)
         return zstandard.ZstdCompressor(level=1).compress(data)
 
     @classmethod
     def unpack(cls, data: bytes) -> CountTransducer:
         out = cls.__new__(cls)
-        langs, words, out.root, out.layers = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-        out.langs, out.words = names(langs), names(words.split("\n") if words else [])
+        langs, size, text, out.root, out.layers = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        out.langs, out.words = names(langs), words_of(size, text)
         return out
 
 
@@ -198,11 +209,13 @@ def names(words: Sequence[str]) -> pa.Array:
 
 def narrowed(langs: pa.Array, words: pa.Array, paths: np.ndarray, weight: np.ndarray) -> CountTransducer:
     """The transducer of paths that use few of the words: only those are stored."""
-    used = np.unique(paths[:, 1:])
-    used = used[used > 0]
-    lang = np.unique(paths[:, 0])
-    out = np.empty_like(paths)
-    out[:, 1:] = np.where(paths[:, 1:] > 0, np.searchsorted(used, paths[:, 1:]) + 1, 0)
+    seen = np.zeros(len(words) + 1, bool)
+    seen[paths[:, 1:]] = True
+    seen[0] = False
+    used, lang = np.flatnonzero(seen), np.unique(paths[:, 0])
+    place = np.zeros(max(len(words), len(langs)) + 1, np.int32)
+    place[used] = np.arange(1, len(used) + 1)
+    out = place[paths]
     out[:, 0] = np.searchsorted(lang, paths[:, 0]) + 1
     return CountTransducer(langs.take(pa.array(lang - 1)), words.take(pa.array(used - 1)), out, weight)
 
@@ -225,13 +238,13 @@ def united(parts: Sequence[Paths]) -> Paths:
 
 def border_places(borders: Sequence[tuple[str, ...]], langs: pa.Array, words: pa.Array, paths: np.ndarray) -> list[int]:
     """Where each border (a path in text, '' for its end) falls among sorted paths."""
-    out = []
+    out, columns = [], [np.ascontiguousarray(paths[:, d]) for d in range(paths.shape[1])] if borders else []
     for border in borders:
         lo, hi = 0, len(paths)
         for d, name in enumerate(border):
             at, known = place_of(words if d else langs, name) if name or not d else (0, True)
-            left = lo + int(np.searchsorted(paths[lo:hi, d], at))
-            hi = lo + int(np.searchsorted(paths[lo:hi, d], at, side="right")) if known else left
+            left = lo + int(np.searchsorted(columns[d][lo:hi], at))
+            hi = lo + int(np.searchsorted(columns[d][lo:hi], at, side="right")) if known else left
             lo = left
             if lo == hi:
                 break
@@ -243,7 +256,7 @@ def border_places(borders: Sequence[tuple[str, ...]], langs: pa.Array, words: pa
 
 
 def _told(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """Languages, words and one path per word, for slices of a batch of (lang, text)."""
+    """Languages, words and one path per word, for slices of a batch of (lang, text); memory that Arrow holds on to is given back."""
     at = 0
     for texts in chunks(batch.column(1), SHARD_BYTES):
         langs, lang = ranked(batch.column(0).slice(at, len(texts)))
@@ -254,6 +267,8 @@ def _told(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarra
         for s in range(0, len(code), SHARD_WINDOWS):
             e = min(s + SHARD_WINDOWS, len(code))
             yield langs, words, np.concatenate([lang[text[s:e], None], windows[s:e]], axis=1)
+        del stream, piece, text, words, code, windows
+        pa.default_memory_pool().release_unused()
 
 
 def range_borders(docs: DataFrame, n_docs: int, n_bytes: int, range_windows: int) -> list[tuple[str, ...]]:
