@@ -89,3 +89,28 @@ def test_sampler_draws_depend_on_rows_only(spark):
         out = [sorted(map(tuple, Y.sample_synthesizer(spark, model, D.noise_schedule(6), 100, variant=variant, block=b).collect())) for b in (4096, 7)]
         assert [x[0] for x in out[0]] == list(range(100)) and [(x[0], x[3]) for x in out[0]] == [(x[0], x[3]) for x in out[1]]
         assert np.allclose([x[1:3] for x in out[0]], [x[1:3] for x in out[1]])
+
+
+def test_denoiser_matches_brute_force_and_shares_only_on_request():
+    """Weights and expectations component by component; category shares are worked out only for steps that draw from them."""
+    rng = np.random.default_rng(5)
+    means, probs = rng.normal(size=(3, 2)), rng.dirichlet(np.ones(4), 3)
+    covs = np.array([a @ a.T + 0.1 * np.eye(2) for a in rng.normal(size=(3, 2, 2))])
+    model = Y.Synthesizer(("x", "y"), ("c",), ("a", "b", "c"), np.array([0.2, 0.3, 0.5]), means, covs, (probs,))
+    sched = D.noise_schedule(10)
+    denoiser = Y._Denoiser(model, sched, np.arange(3))
+    x, c = rng.normal(size=(5, 2)), rng.integers(0, 4, 5)
+    lines = np.vstack([x.T, np.ones(5)])
+    for t in (0, 4, 9):
+        a = sched.values["abar"][t]
+        clean, (shares,) = denoiser(lines, [c], t, True)
+        assert denoiser(lines, [c], t, False)[1] == []
+        for i in range(5):
+            plain, seen, moved = [], [], []
+            for k in range(3):
+                s, gap = a * covs[k] + (1 - a) * np.eye(2), x[i] - np.sqrt(a) * means[k]
+                plain.append(model.weights[k] * np.exp(-0.5 * gap @ np.linalg.solve(s, gap)) / np.sqrt(np.linalg.det(s)))
+                seen.append(plain[k] * (a * probs[k, c[i]] + (1 - a) / 4))
+                moved.append(means[k] + np.sqrt(a) * covs[k] @ np.linalg.solve(s, gap))
+            assert np.allclose(clean[:, i], np.array(seen) @ moved / sum(seen), rtol=1e-9)
+            assert np.allclose(shares[:, i], np.array(plain) @ probs / sum(plain), rtol=1e-9)
