@@ -169,3 +169,20 @@ def test_below_half_median(spark, n):
                 want.append(bool(step < np.median(d[i]) / 2))
         got = C.below_half_median(spark.createDataFrame(cases, "bid long, vec array<double>, distance double"), frame(spark, x).withColumnRenamed("id", "pid"), block_rows=6, pivots=9)
         assert {r.bid: r.near for r in got.collect()} == dict(enumerate(want))
+
+
+def test_exact_discrepancy_of_many_rows(spark):
+    """Sides of any size, in pairs of blocks; copies are weighted points on both sides of a pair."""
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 40, (20_500, 2)) / 10.0, rng.integers(0, 40, (300, 2)) / 12.0
+    sides = [spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(s)], "id long, vec array<double>") for s in (a, b)]
+
+    def mean(x, y):
+        return np.mean([np.exp(-((y - row) ** 2).sum(axis=1) / 8.0).mean() for row in x])
+
+    (ua, ca), other = np.unique(a, axis=0, return_counts=True), mean(b, a)
+    own = sum(c * (np.exp(-((ua - v) ** 2).sum(axis=1) / 8.0) @ ca) for v, c in zip(ua, ca)) / len(a) ** 2
+    for block_rows in (20_000, 150):
+        row = D.mmd_exact(*sides, bandwidth=2.0, scaled=False, block_rows=block_rows).first()
+        assert (row.n_real, row.n_syn) == (20_500, 300)
+        assert row.mmd2 == pytest.approx(own + mean(b, b) - 2 * other, abs=1e-11)
