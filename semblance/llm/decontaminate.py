@@ -27,17 +27,22 @@ def marked_text(text: Column) -> Column:
     numbers = F.regexp_replace(plain, r"(?<![\p{L}\p{N}.,])(?=\p{N})[\p{N}.,]+(?![\p{L}\p{N}])", "#$0")
     names = F.regexp_replace(numbers, r"(?<=[\p{Ll}\p{N},][\x20\x09-\x0D])(?=\p{Lu})\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "@$0")
     units = F.regexp_replace(names, rf"(?i)(#[\p{{N}}.,]+[\x20\x09-\x0D]+)({UNITS})(?![\p{{L}}\p{{N}}])", "$1&$2")
-    return F.lower(F.regexp_replace(units, r"[.,]+", ""))
+    return F.lower(F.replace(F.replace(units, F.lit("."), F.lit("")), F.lit(","), F.lit("")))
 
 
-def canonical(marked: Column) -> Column:
-    """Typed placeholders for the slots of a marked text."""
-    return F.regexp_replace(marked, r"([#@&])[^\x20\x09-\x0D]+", "$1")
+def numbers_typed(marked: Column) -> Column:
+    """Typed placeholders for numbers and units of a marked text; names, which begin their words, keep their marks."""
+    return F.regexp_replace(marked, r"([#&])[^\x20\x09-\x0D]+", "$1")
 
 
-def with_names(marked: Column) -> Column:
+def canonical(typed: Column) -> Column:
+    """Placeholders for the names too."""
+    return F.regexp_replace(typed, r"@[^\x20\x09-\x0D]+", "@")
+
+
+def with_names(typed: Column) -> Column:
     """As ``canonical``, but with names as plain words, so that case does not matter."""
-    return canonical(F.translate(marked, "@", ""))
+    return F.replace(typed, F.lit("@"), F.lit(""))
 
 
 def plain(marked: Column) -> Column:
@@ -52,7 +57,7 @@ def hashed(tokens: Column, window: int) -> Column:
 
 def template_windows(df: DataFrame, keep: list[str], window: int) -> DataFrame:
     """(keep, pos, h): hashes of ``window`` canonical tokens, one row each; windows with names once more with these as words."""
-    both = F.struct(hashed(words(canonical(F.col("marked"))), window).alias("slots"), hashed(words(with_names(F.col("marked"))), window).alias("names"))
+    both = let(numbers_typed(F.col("marked")), lambda t: F.struct(hashed(words(canonical(t)), window).alias("slots"), hashed(words(with_names(t)), window).alias("names")))
     wins = let(both, lambda w: F.concat(w["slots"], F.filter(w["names"], lambda x, i: x["h"] != w["slots"][i]["h"])))
     return df.select(*keep, F.inline(wins))
 
