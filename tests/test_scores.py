@@ -148,3 +148,26 @@ def test_ks_methods(spark):
     a, b = nums(spark, 60, lambda i: (i * 37) % 61), nums(spark, 40, lambda i: (i * 29) % 53 + 4)
     auto, exact, asymptotic, few = [H.ks_two_sample(a, b, ["x"], m, rows).first() for m, rows in (("auto", 10_000), ("exact", 1), ("asymptotic", 10_000), ("auto", 59))]
     assert auto == exact and asymptotic == few and auto.ks == asymptotic.ks and auto.p_value != asymptotic.p_value
+
+
+def test_training_rows_are_dealt_out_where_few_partitions_hold_them(spark):
+    """As many partitions as cores, but one with nearly all rows: the estimator sees even ones."""
+    from semblance.operators import models as M
+
+    width, seen = spark.sparkContext.defaultParallelism, []
+
+    class Fake:
+        def fit(self, data):
+            seen.append([len(p) for p in data.select("x").rdd.glom().collect()])
+
+    def make(_):
+        return Fake()
+
+    def rows(n):
+        # the partition of the first key holds all rows but a few
+        return spark.range(n).select("id", F.rand(1).alias("x")).repartition(width, F.when(F.col("id") < 10, F.col("id")).otherwise(0))
+
+    M._mllib(make, ["x"])(rows(120_000).localCheckpoint())
+    M._mllib(make, ["x"])(rows(5_000).localCheckpoint())
+    assert sum(seen[0]) == 120_000 and max(seen[0]) <= 2 * 120_000 / width
+    assert max(seen[1]) > 4_900
