@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from semblance.operators.neighbors import knn_join
+from semblance.operators.neighbors import BLOCK_ROWS, PIVOTS, _Block, _cell_count, knn_join
 
 CELLS = dict(broadcast_bytes=0, block_rows=100, pivots=40, hot_visits=50)
 
@@ -44,3 +44,27 @@ def test_far_and_scaled_coordinates_equal_brute_force(spark, options, shift, fac
         want |= {(i, r + 1, int(a)) for r, a in enumerate(np.lexsort((np.arange(len(p)), d))[:3])}
     got = {(r.qid, r["rank"], r.pid) for r in knn_join(frame("qid", q), frame("pid", p), 3, **options).collect()}
     assert got == want
+
+
+def test_a_wide_vector_is_sent_to_few_cells():
+    assert _cell_count(100_000, 64, BLOCK_ROWS, PIVOTS) == 8
+    assert _cell_count(600_000, 64, BLOCK_ROWS, PIVOTS) == 9
+    assert _cell_count(30_000_000, 9, BLOCK_ROWS, PIVOTS) == 1831
+
+
+@pytest.mark.parametrize("dims,size", [(3, 3000), (9, 3000), (64, 6000), (2, 5)])
+@pytest.mark.parametrize("bounded", [False, True])
+def test_block_search_equals_brute_force(dims, size, bounded):
+    rng = np.random.default_rng(dims)
+    p, q = np.round(rng.normal(size=(size, dims)), 1), np.round(rng.normal(size=(60, dims)), 1)
+    q[:20], p[: size // 2, 0] = p[:20] if size > 20 else p[0], 0.0
+    ids, k = rng.permutation(size), 7
+    d = np.sqrt(np.cumsum((p[None] - q[:, None]) ** 2, axis=2)[:, :, -1])
+    reach = np.quantile(d, 0.002, axis=1) if bounded else np.full(len(q), np.inf)
+    want = []
+    for i in range(len(q)):
+        o = np.lexsort((ids, d[i]))[:k]
+        want += [(i, ids[j], d[i, j]) for j in o if d[i, j] <= reach[i]]
+    row, found, dist = _Block(p, ids).within(q, k, reach)
+    got = [x for x in zip(row, found, dist) if x[2] <= reach[x[0]]]
+    assert got == want and len(row) <= len(q) * k
