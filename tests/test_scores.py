@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from semblance.operators import fidelity as H
+from semblance.operators import models as M
 from semblance.operators import privacy as V
 from semblance.operators.diffusion import sample_health
 from semblance.operators.utility import regression_metrics
@@ -171,3 +173,16 @@ def test_training_rows_are_dealt_out_where_few_partitions_hold_them(spark):
     M._mllib(make, ["x"])(rows(5_000).localCheckpoint())
     assert sum(seen[0]) == 120_000 and max(seen[0]) <= 2 * 120_000 / width
     assert max(seen[1]) > 4_900
+
+
+def test_partial_moments_merge_exactly_per_key(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 3)) + 1e6
+    rows = [(("a", "b")[i % 3 == 0], *map(float, r)) for i, r in enumerate(x)] + [(None, 1.0, 2.0, 3.0), ("a", None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, u double, v double, w double").repartition(7)
+    got = M.keyed_moments(df, "k", ["u", "v", "w"])
+    for k, mine in (("a", np.arange(4000) % 3 != 0), ("b", np.arange(4000) % 3 == 0)):
+        assert got[k].n == mine.sum()
+        assert np.allclose(got[k].mean, x[mine].mean(axis=0), rtol=1e-14)
+        assert np.allclose(got[k].cov, np.cov(x[mine].T, bias=True), rtol=1e-7, atol=1e-9)
+    assert got[None].n == 1 and np.allclose(M.Moments.of(("u",), x[:, :1]).mean, x[:, 0].mean())
