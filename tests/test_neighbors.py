@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from semblance.operators.neighbors import BLOCK_ROWS, PIVOTS, _Block, _cell_count, knn_join
+from semblance.operators.neighbors import BLOCK_ROWS, PIVOTS, _Block, _cell_count, _Tree, knn_join
 
 CELLS = dict(broadcast_bytes=0, block_rows=100, pivots=40, hot_visits=50)
 
@@ -68,3 +68,28 @@ def test_block_search_equals_brute_force(dims, size, bounded):
     row, found, dist = _Block(p, ids).within(q, k, reach)
     got = [x for x in zip(row, found, dist) if x[2] <= reach[x[0]]]
     assert got == want and len(row) <= len(q) * k
+
+
+@pytest.mark.parametrize("cells", [50, 400])
+def test_a_query_of_few_dimensions_visits_few_cells(cells):
+    rng = np.random.default_rng(7)
+    p = np.column_stack([rng.normal(size=(20_000, 3)), rng.integers(0, 2, (20_000, 2))])
+    tree = _Tree(p[:5000], cells)
+    at = tree.place(p)
+    n = np.bincount(at, minlength=tree.n_cells)
+    tree.fit(n, np.array([p[at == c].min(axis=0) for c in range(len(n))]), np.array([p[at == c].max(axis=0) for c in range(len(n))]), 1)
+    q = p[:300] + 0.01
+    d = ((q[:, None] - p[None]) ** 2).sum(axis=2)
+    row, cell = tree.visits(q, d.min(axis=1) * (1 + 1e-9))
+    # every cell of a nearest point, and hardly any other
+    assert {*enumerate(at[d.argmin(axis=1)])} <= {*zip(row, cell)}
+    assert n.min() > 0 and n.max() < 4 * len(p) / cells and len(row) < 3 * len(q)
+    # a bound before any search: as many points as asked for lie within
+    assert (d.min(axis=1) <= tree.farthest(q, tree.place(q)) ** 2).all()
+
+
+@pytest.mark.parametrize("values", [[0.0, np.nan, 1.0], [np.nan, np.nan, np.nan], [5.0, 5.0, 5.0], [np.inf, -np.inf, 0.0]])
+def test_cells_of_odd_numbers_end(values):
+    v = np.array([values, values[::-1], [1.0, 2.0, 3.0], [1.0, 2.0, 4.0]])
+    tree = _Tree(v, 4)
+    assert set(tree.place(v)) == set(range(tree.n_cells))
