@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from semblance.functions.rand import draw_index
 from semblance.operators.frames import lookup
 from semblance.operators.layout import fit_dictionary
-from semblance.operators.ranks import exact_quantiles, hash_cut, number_groups, number_rows, running_counts, with_bucket
+from semblance.operators.ranks import cdf_distances, exact_quantiles, hash_cut, number_groups, number_rows, running_counts, with_bucket
 
 
 def skewed(spark, n=3000):
@@ -109,3 +109,55 @@ def test_dictionary_ranks_over_ranges(spark):
     for c in "ab":
         assert [got[c, v] for v in sorted(r[0] for r in words.select(c).distinct().collect())] == list(range(words.select(c).distinct().count()))
     assert fit_dictionary(words.limit(0), ["a"]).count() == 0
+
+
+def cdf_by_definition(a, b):
+    """(ks, cross, area) from both CDFs at every value."""
+    v = np.unique(np.concatenate([a, b]))
+    ra, rb = np.searchsorted(np.sort(a), v, side="right"), np.searchsorted(np.sort(b), v, side="right")
+    gap = np.abs(ra / len(a) - rb / len(b))
+    return gap.max(), int(np.abs(ra * len(b) - rb * len(a)).max()), float((gap[:-1] * np.diff(v)).sum())
+
+
+def test_cdf_distances_equal_the_definition(spark):
+    rng = np.random.default_rng(5)
+    steps = rng.integers(0, 11, 4000) / 100
+    pairs = [
+        (steps, steps[rng.integers(0, 4000, 3000)] + rng.normal(size=3000) * 0.003), (rng.normal(size=4000), rng.normal(size=3000)),
+        (rng.normal(size=4000), rng.normal(size=3000) + 5), (np.full(4000, 7.0), np.full(3000, 7.0)), (np.round(rng.normal(size=4000)), np.full(3000, -0.0)),
+    ]
+    real = spark.createDataFrame([tuple(float(p[0][i]) for p in pairs) for i in range(4000)], [f"x{j}" for j in range(5)]).repartition(3)
+    syn = spark.createDataFrame([tuple(float(p[1][i]) for p in pairs) for i in range(3000)], [f"x{j}" for j in range(5)]).repartition(5)
+    for buckets in (2, 64, 4096):
+        got = cdf_distances(real, syn, real.columns, area=True, buckets=buckets)
+        for g, (a, b) in zip(got, pairs, strict=True):
+            ks, cross, area = cdf_by_definition(a, b)
+            assert (g["n_real"], g["n_syn"], g["cross"]) == (4000, 3000, cross)
+            assert np.isclose(g["ks"], ks, atol=1e-12) and np.isclose(g["area"], area, atol=1e-9)
+
+
+def test_cdf_distances_order_few_values(spark, monkeypatch):
+    """Values far from the largest gap and from any change of sign are counted, not ordered one by one."""
+    from semblance.operators import ranks
+
+    ordered, inside = [], ranks._inside_buckets
+    monkeypatch.setattr(ranks, "_inside_buckets", lambda frames, edges, inner, spans: ordered.append((len(spans), sum(map(len, inner)))) or inside(frames, edges, inner, spans))
+    real, syn = (spark.range(20_000).select(F.sqrt((F.col("id") + s) * m).alias("x")) for s, m in ((0, 1.0), (1, 1.3)))
+    got = cdf_distances(real, syn, ["x"], area=True, buckets=256)[0]
+    a, b = np.sqrt(np.arange(20_000.0)), np.sqrt(np.arange(1, 20_001) * 1.3)
+    assert np.allclose([got["ks"], got["area"]], [cdf_by_definition(a, b)[i] for i in (0, 2)])
+    assert sum(n for n, _ in ordered) <= 25 and all(m >= 200 for _, m in ordered)
+
+
+def test_cdf_distances_with_gaps_and_infinities(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, None, nan, inf, -inf), (2.0, None, 1.0, 1.0, 1.0), (None, None, 2.0, 2.0, 2.0)]
+    real = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    syn = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0, 1.0), (2.0, 2.0, 2.0, 2.0, 2.0)], real.schema)
+    a, b, c, d, e = cdf_distances(real, syn, real.columns, area=True)
+    assert (a["n_real"], a["n_syn"], a["ks"], a["area"]) == (2, 2, 0.0, 0.0)
+    assert (b["n_real"], b["n_syn"], b["ks"], b["area"]) == (0, 2, None, None)
+    assert np.isclose(c["ks"], 1 / 3) and np.isnan(c["area"])
+    assert np.isclose(d["ks"], 1 / 3) and np.isnan(d["area"])
+    assert np.isclose(e["ks"], 1 / 3) and e["area"] == inf
+    assert cdf_distances(real.select("b"), real.select("b"), ["b"]) == []
