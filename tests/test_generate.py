@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from semblance.functions.arrays import log_one_hot
 from semblance.operators import diffusion as D
 from semblance.operators import oversample as O
 from semblance.operators import synthesizer as Y
@@ -114,3 +115,26 @@ def test_denoiser_matches_brute_force_and_shares_only_on_request():
                 moved.append(means[k] + np.sqrt(a) * covs[k] @ np.linalg.solve(s, gap))
             assert np.allclose(clean[:, i], np.array(seen) @ moved / sum(seen), rtol=1e-9)
             assert np.allclose(shares[:, i], np.array(plain) @ probs / sum(plain), rtol=1e-9)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 6, 20])
+def test_training_pairs_equal_the_array_forms(spark, k):
+    schedule = D.noise_schedule(20)
+    df = spark.range(400).select("id", (F.col("id") / 200 - 1).alias("x"), F.when(F.col("id") % 37 != 0, F.col("id") % (k + 1)).cast("int").alias("code"))
+    got = D.training_pairs(df, ["x"], {"code": k}, schedule, F.col("id"), repeats=2)
+    share = F.col("abar")
+    block = D.log_mix_uniform(log_one_hot(F.col("code"), k), share, k)
+    whole = D.with_schedule(got, schedule, ("abar", "alpha", "abar_prev")).select(
+        "post_code", "xt_code", D.gumbel_sample(block, k, F.col("pair"), "42/cat/code").alias("xt"),
+        D.posterior_categorical(log_one_hot(F.col("code"), k), log_one_hot(F.col("xt_code"), k), k).alias("post"))
+    rows = whole.collect()
+    assert len(rows) == 800 and all(r.xt_code == r.xt for r in rows)
+    assert np.allclose([r.post_code for r in rows], [r.post for r in rows], atol=1e-9)
+
+
+def test_draws_of_few_categories_need_no_lambda(spark):
+    df = spark.range(10).select("id", F.lit(0.5).alias("x"), (F.col("id") % 3).cast("int").alias("code"))
+    out = D.training_pairs(df, ["x"], {"code": 3}, D.noise_schedule(20), F.col("id")).select("xt_code")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    drawn = [line for line in plan.splitlines() if "md5(" in line]
+    assert drawn and not any("lambda" in line for line in drawn)
