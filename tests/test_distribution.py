@@ -186,3 +186,21 @@ def test_exact_discrepancy_of_many_rows(spark):
         row = D.mmd_exact(*sides, bandwidth=2.0, scaled=False, block_rows=block_rows).first()
         assert (row.n_real, row.n_syn) == (20_500, 300)
         assert row.mmd2 == pytest.approx(own + mean(b, b) - 2 * other, abs=1e-11)
+
+
+def test_exact_discrepancy_copies_no_point_on_disk(spark):
+    """What is shuffled does not grow with the number of blocks."""
+    rng = np.random.default_rng(3)
+    frames = [spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 3)))], "id long, vec array<double>") for _ in range(2)]
+
+    def on_disk():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName(): files.apply(i).length() for i in range(files.size())}
+
+    def run(block_rows):
+        before = on_disk()
+        found = D.mmd_exact(*frames, scaled=False, block_rows=block_rows).first()["mmd2"]
+        return found, sum(n for f, n in on_disk().items() if f not in before and f.startswith("shuffle") and f.endswith(".data"))
+
+    (whole, once), (cut, many) = run(1_000), run(40)
+    assert abs(whole - cut) < 1e-12 and 0 < once and many < 2 * once
