@@ -1,11 +1,12 @@
 """Shuffle files are dropped once what was made of them is written or read."""
 
+import os
 import time
 
 from pyspark.sql import functions as F
 
 from semblance.operators import utility as U
-from semblance.operators.frames import RELEASE, cut_lineage
+from semblance.operators.frames import RELEASE, cut_lineage, drop_checkpoint
 
 
 def _shuffled(spark):
@@ -41,3 +42,15 @@ def test_runs_lie_on_disk_one_at_a_time(spark):
     out = U.multi_seed_linear(make, rows, U.LinearSpec(("x",)), "y", n_runs=3).collect()
     assert seen == [set()] * 3 and not _left(spark, before)
     assert [r["run"] for r in out] == [0, 1, 2] and out[0]["r2"] > 0.9
+
+
+def test_dropped_checkpoint_leaves_no_files_and_others_stay(spark):
+    def files(df):
+        return df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+
+    first = cut_lineage(spark.range(100))
+    second = cut_lineage(first.where("id < 50"))
+    assert os.path.isdir(files(first))
+    drop_checkpoint(first)
+    drop_checkpoint(second.where("id < 10"))  # not itself a checkpoint
+    assert not os.path.exists(files(first)) and os.path.isdir(files(second)) and second.count() == 50
